@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import ready_workers
 
 #: Words with characters beyond these follow the library's own Unicode tables, which may be of another version.
 PLAIN = re.compile("[\\u0250-\U0010ffff]")
@@ -218,7 +218,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, ids (array, only with_ids), n_tokens, ids_sha256, decoded_sha256."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ("ids array<int>, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_groups, small_batches, write_table
+from .shared import join_groups, ready_workers, write_table
 
 #: Rows of a band and bands: a pair of similarity 0.8 meets in a band but for 3 in a million.
 BAND_ROWS, BANDS = 5, 32
@@ -128,7 +128,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, n_shingles, cls (hash of the set, null if empty), bands, sketch."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bands array<long>, sketch binary"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -73,9 +74,15 @@ def release(*tables: DataFrame) -> None:
         drop_table(table.sparkSession, table._shared_path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts fit in a Python worker."""
+def ready_workers(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, so that very long texts fit in a Python worker, and lets workers import this package.
+
+    Workers on other machines need the package installed or sent with --py-files.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    here, known = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if here not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(x for x in (known.get("PYTHONPATH"), here) if x)
 
 
 def words_in(text: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LAST, Memo, Vocabulary
-from .shared import small_batches
+from .shared import ready_workers
 
 #: Bytes of a chunk, and the states kept before compilation starts afresh.
 CHUNK_BYTES = 1 << 16
@@ -134,7 +134,7 @@ def transducer(path: str) -> Transducer:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
