@@ -102,7 +102,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     for k in range(most):
         at = start + k * F.col("source_size")
         takes.append(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), target_words - at)))
-        positions.append(F.when(takes[-1] > 0, moment(at / F.col("target"), F.col("rank"), schedules)))
+        positions.append(F.when(takes[-1] > 0, moment(F.try_divide(at.cast("double"), F.col("target")), F.col("rank"), schedules)))
     taken = takes[0]
     for t in takes[1:]:
         taken = taken + t
@@ -113,8 +113,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, **options) -> DataFrame:
     """plan_mix range-sorted by first position; documents that are never read come last."""
     plan = plan_mix(docs, **options)
-    first = F.coalesce(F.element_at("positions", 1), F.lit(2.0))
-    sorted_plan = plan.withColumn("position", F.element_at("positions", 1)).withColumn("__first", first)
+    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
+    sorted_plan = plan.withColumn("position", F.try_element_at("positions", F.lit(1))).withColumn("__first", first)
     return sorted_plan.repartitionByRange("__first", "hash").sortWithinPartitions("__first", "hash").drop("__first", "hash")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, token_count
+from . import bpe, chat, exact_dedup, language, mixing, near_dedup, quality, sharding, token_count, vector_search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,14 +18,53 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_source_mixing(spark, folder):
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 def op2_token_counts(spark, folder):
     return token_count.count_tokens(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark, folder):
+    """Pages by markup, address, host and text; documents by source and text.  One row per page and per document."""
+    docs = _table(spark, folder, "documents")
+    model = language.fit_text_model(docs)
+    of_docs = language.identify_documents(docs, model)
+    of_pages = language.identify_pages(_table(spark, folder, "pages"), model)
+    columns = ["doc_id", "page_id", "lang", "posterior", "n_words", "declared", "host", "accepted"]
+    return of_docs.withColumns({"page_id": F.lit(None).cast("long"), "declared": F.lit(None).cast("string")}).select(columns).unionByName(of_pages.withColumn("doc_id", F.lit(None).cast("long")).select(columns))
+
+
+def op4_chat_formatting(spark, folder):
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(more)
+    formatted = chat.format_paths(chat.linear_replies(rows, "conv_id", ["turn"]))
+    turns = chat.read_back(F.col("formatted"))
+    flat = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    conv = F.when(F.col("tree") != "-", F.substring("tree", 2, 40)).cast("long")
+    return formatted.select(
+        conv.alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(flat, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_bpe_encoding(spark, folder):
     return bpe.encode(_table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op6_quality_classifier(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.group_copies(_table(spark, folder, "documents"))
 
@@ -33,12 +73,27 @@ def op8_minhash_near_dedup(spark, folder):
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), percent=85).drop("cls")
 
 
+def op9_sharding(spark, folder):
+    return sharding.shard_rows(_table(spark, folder, "documents"))
+
+
+def op10_vector_top_k(spark, folder):
+    rows = _table(spark, folder, "embeddings")
+    return vector_search.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def queries():
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_token_counts": op2_token_counts,
+        "op3_language_id": op3_language_id,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_bpe_encoding": op5_bpe_encoding,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_sharding": op9_sharding,
+        "op10_vector_top_k": op10_vector_top_k,
     }
 
 
@@ -48,4 +103,19 @@ def oracle_sql():
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
             g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+        "op10_vector_top_k": r"""
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op4_chat_formatting": r"""
+            WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+            t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+            e AS (SELECT *, length(role) + length(text) + length('<s>[INST][/INST]</s>')
+                + length(role || text) - length(replace(role || text, chr(92), ''))
+                + length(regexp_extract_all(role, '</?s>|\[/?INST\]')) + length(regexp_extract_all(text, '</?s>|\[/?INST\]')) AS chars FROM t),
+            g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS flat,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+            SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     }
