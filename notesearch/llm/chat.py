@@ -70,14 +70,20 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     chosen = leaves.withColumn("__rank", rank).filter(F.col("__rank") <= branches)
-    path = chosen.select("tree", F.col("node").alias("leaf"), F.col("total").alias("path_score"), F.col("depth").alias("place"), "node")
+    path = chosen.select("tree", F.col("node").alias("leaf"), F.col("total").alias("path_score"), F.col("depth"), F.col("depth").alias("place"), "node")
+    done = []
     for k, level in enumerate(levels[:-1]):
+        path = write_table(path, "paths")
+        done.append(path.filter(F.col("depth") <= (1 << k)))  # whole; only longer paths go on
         ups = level.select("tree", "node", "up")
         here = F.struct("place", "node")
         above = F.struct((F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node"))
         both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))
-        path = path.join(ups, ["tree", "node"], "left").select("tree", "leaf", "path_score", F.explode(both).alias("__at")).select("tree", "leaf", "path_score", "__at.place", "__at.node")
-    return path
+        longer = path.filter(F.col("depth") > (1 << k)).join(ups, ["tree", "node"], "left")
+        path = longer.select("tree", "leaf", "path_score", "depth", F.explode(both).alias("__at")).select("tree", "leaf", "path_score", "depth", "__at.place", "__at.node")
+    for part in done:
+        path = path.unionByName(part)
+    return path.drop("depth")
 
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
