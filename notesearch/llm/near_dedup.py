@@ -110,7 +110,14 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 def unpack(sketches: list[bytes]) -> np.ndarray:
     """Sketches as 64-bit words: (planes, rows, words)."""
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), 1 + LOW_BITS, BINS // 64).transpose(1, 0, 2)
+    size = (1 + LOW_BITS) * BINS // 8
+    words = np.frombuffer(b"".join([s[:size] for s in sketches]), np.uint64)
+    return words.reshape(len(sketches), 1 + LOW_BITS, BINS // 64).transpose(1, 0, 2)
+
+
+def short_keys(sketches: list[bytes]) -> np.ndarray:
+    """The 32-bit digests of the band keys that describe() appends to a sketch: (rows, BANDS)."""
+    return np.frombuffer(b"".join([s[-4 * BANDS :] for s in sketches]), np.uint32).reshape(len(sketches), BANDS)
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -139,8 +146,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingle_set(text)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                bands.append(band_keys(s) if len(s) else None)
-                sketches.append(sketch(s) if len(s) else None)
+                keys = band_keys(s) if len(s) else None
+                bands.append(keys)
+                sketches.append(sketch(s) + keys.astype(np.uint32).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
     return rows.mapInArrow(run, schema)
@@ -153,13 +161,15 @@ def _forest(parent: dict, x):
     return x
 
 
-def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[bytes], least: float, forest: bool):
+def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[bytes], band_at: int, least: float, forest: bool):
     """Candidate pairs (a, b) of one block whose labels differ and whose estimate is at least `least`.
 
+    A pair that meets in several bands counts in the first only, unless a forest is wanted.
+
     side tells the two parts of a block that pairs two parts of a large group (all 0: one part).
     forest: of these pairs only a spanning forest of the most similar.
     """
-    planes = unpack(sketches)
+    planes, keys = unpack(sketches), short_keys(sketches)
     a, b, value = [], [], []
     paired = bool(side.any())
     for i in range(len(cls)):
@@ -171,6 +181,8 @@ def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.
         if len(js):
             e = estimates(planes[:, i], planes[:, js])
             ok = e >= least
+            if not forest:
+                ok &= (keys[js] == keys[i]).argmax(1) == band_at
             js = js[ok]
             a += [i] * len(js)
             b += js.tolist()
@@ -200,25 +212,25 @@ def _candidates(members: DataFrame, threshold: float, forest: bool) -> DataFrame
                 cls, n, label, side = (np.array([r[k] for r in held], np.int64) for k in range(4))
                 if label.min() != label.max():
                     order = np.argsort(cls, kind="stable")
-                    a, b = _pairs_of_block(cls[order], n[order], label[order], side[order], [held[k][4] for k in order], threshold - MARGIN, forest)
+                    a, b = _pairs_of_block(cls[order], n[order], label[order], side[order], [held[k][4] for k in order], held[0][5], threshold - MARGIN, forest)
                     if len(a):
                         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
             return None
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
+            columns = [batch.column(k).to_pylist() for k in range(8)]
             for row in zip(*columns):
                 if row[:2] != key:
                     out = flush()
                     if out is not None:
                         yield out
                     held, key = [], row[:2]
-                held.append((row[3], row[4], row[5], row[2], row[6]))
+                held.append((row[3], row[4], row[5], row[2], row[6], row[7]))
         out = flush()
         if out is not None:
             yield out
 
-    dealt = members.select("band", "part", "side", "cls", "n", "label", "sketch").repartition("band", "part").sortWithinPartitions("band", "part")
+    dealt = members.select("band", "part", "side", "cls", "n", "label", "sketch", "at").repartition("band", "part").sortWithinPartitions("band", "part")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
