@@ -4,9 +4,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from notesearch.llm import components, exact_dedup, near_dedup, shared
-from notesearch.llm.queries import tokenizer_path  # noqa: F401
 
 ROWS = [
     (5, "a  b", 1), (3, "a\tb", 2), (9, "a b", 3), (4, None, 4), (7, "", 5), (8, "alone", 6), (8, "alone", 6), (None, "a b", 7), (None, "none", 8), (6, " ", 9), (2, "x " * 50_000, 10),
@@ -49,7 +49,7 @@ def test_filter_never_misses_a_repeat_and_hot_groups_are_whole(spark):
 
 def test_unique_rows_are_not_shuffled(spark):
     rows = [(k, f"text {k}", 0) for k in range(2000)] + [(5000, "text 7", 0)]
-    prints = docs_of(spark, rows).select("doc_id", exact_dedup.digest_of(docs_of(spark, rows).text).alias("digest"))
+    prints = docs_of(spark, rows).select("doc_id", exact_dedup.digest_of(F.col("text")).alias("digest"))
     bits = exact_dedup.slot_bits(len(rows))
     bloom = exact_dedup.repeated_slots(prints, bits)
     flagged = exact_dedup.flag_repeats(prints, bloom, bits)
