@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .shared import join_groups, null_safe_key, ready_workers, write_table
+from .shared import broadcast_if_small, join_groups, null_safe_key, ready_workers, write_table
 
 #: Documents of each language that the likelihoods are fitted on, at most, and the languages at most.
 SAMPLE_ROWS = 300
@@ -200,8 +200,5 @@ def identify_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id"
 def accepted_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs without those that identification rejects, columns unchanged."""
     verdicts = identify_documents(docs, model, id_col, text_col, source_col)
-    rejected = write_table(verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias("__drop"), "n_words").distinct(), "rejected")
-    dropped = rejected.select("__drop").distinct()
-    if rejected.count() <= 2_000_000:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)
+    rejected = write_table(verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias("__drop")).distinct(), "rejected")
+    return docs.join(broadcast_if_small(rejected), F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)

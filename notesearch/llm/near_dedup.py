@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_groups, ready_workers, write_table
+from .shared import broadcast_if_small, join_groups, ready_workers, write_table
 
 #: Rows of a band and bands: a pair of similarity 0.8 meets in a band but for 3 in a million.
 BAND_ROWS, BANDS = 5, 32
@@ -39,8 +39,6 @@ MARGIN = 0.06
 BLOCK = 1024
 #: Words whose hash a worker remembers.
 MEMO_WORDS = 500_000
-#: Ids that may be broadcast to pick texts (16 bytes each).
-BROADCAST_IDS = 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240607)
@@ -247,10 +245,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, shingles) for the classes in wanted (doc_id, cls), read again from their texts."""
-    n = wanted.count()
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    if n <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = broadcast_if_small(wanted).select(F.col("doc_id").alias("__id"))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches):
@@ -267,7 +262,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
+    """The pairs whose full sets satisfy 100 * intersection >= percent * union.  pairs is a written table."""
+    pairs = broadcast_if_small(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    sets = sets.join(needed, "cls", "left_semi")
     right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
     full = right.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
 
@@ -302,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     wanted = write_table(members.select("doc_id", "cls").distinct(), "wanted")
     sets = _sets(docs, wanted, id_col, text_col)
     sets = write_table(sets.dropDuplicates(["cls"]), "sets")
-    signs = write_table(rows.select("cls", "sketch").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "signs")
+    signs = write_table(rows.select("cls", "sketch").join(broadcast_if_small(wanted).select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "signs")
 
     first = members.filter(F.col("at") < FIRST_BANDS).withColumn("label", F.col("cls"))
     cut = F.when(F.col("group_rows") > BLOCK, F.pmod(F.xxhash64("cls", "band"), F.ceil(F.col("group_rows") / BLOCK))).otherwise(F.lit(0)).cast("string")
@@ -331,6 +329,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each component only, columns unchanged."""
     verdicts = write_table(near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
-    n = verdicts.count()
-    drop = F.broadcast(verdicts) if n <= BROADCAST_IDS else verdicts
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)
+    return docs.join(broadcast_if_small(verdicts), F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)

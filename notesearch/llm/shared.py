@@ -19,6 +19,8 @@ GAP = r"[\x20\x09-\x0D]+"
 HEAVY_SHARE = 20_000
 #: Groups up to this size are never heavy.
 LIGHT_ROWS = 100
+#: A table of a few numbers a row is broadcast up to this many rows (about 32 MB), once they are counted.
+BROADCAST_ROWS = 500_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -96,14 +98,21 @@ def null_safe_key(column: Column) -> Column:
     return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), text))
 
 
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if its count allows; beyond that a shuffle joins it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """Joins rows with one row per group without sending a hot group to one task.
 
-    groups carries the group's number of rows in column ``size``.  A group of more than
+    Few enough groups are broadcast.  Beyond BROADCAST_ROWS, groups carries the group's number of rows in column ``size``.  A group of more than
     max(LIGHT_ROWS, n_rows / HEAVY_SHARE) rows is heavy: at most HEAVY_SHARE groups can be, so they
     are broadcast.  The others are joined by a shuffle in which no key has more rows than that.
-    groups is read twice: pass a written table.
+    groups is read more than once: pass a written table.
     """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys, how)
     bound = max(LIGHT_ROWS, n_rows // HEAVY_SHARE)
     extra = [c for c in groups.columns if c not in keys]
     heavy = groups.filter(F.col(size) > bound)
