@@ -35,7 +35,9 @@ def test_exact_drop_keeps_columns_and_first_rows(spark):
     assert sorted((r.keep_id for r in left.collect())) == [2, 4, 6, 6, 8, 9, 10]
 
 
-def test_filter_never_misses_a_repeat_and_hot_groups_are_whole(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_filter_never_misses_a_repeat_and_hot_groups_are_whole(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast_rows)
     rows = [(k, "hot" if k % 3 == 0 else f"text {k % 700}", 0) for k in range(3000)]
     got = exact_dedup.group_copies(docs_of(spark, rows)).collect()
     first, size = {}, {}
@@ -104,6 +106,7 @@ def test_near_duplicates_equal_brute_force(spark, percent):
 def test_large_band_groups_are_cut_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(shared, "LIGHT_ROWS", 2)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
     texts = near_texts(9, 120)
     got = near_dedup.near_duplicates(docs_of(spark, [(i, t, 0) for i, t in texts]), 85)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(texts, 85)
@@ -129,7 +132,10 @@ def test_estimate_is_corrected_for_chance():
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < near_dedup.MARGIN
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_components(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(shared, "LIGHT_ROWS", 1)
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (30, 31), (31, 32), (32, 33), (33, 34), (34, 5), (2, 1), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components.connected_components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 5 for k in (5, 30, 31, 32, 33, 34)}}
