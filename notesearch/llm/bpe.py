@@ -33,7 +33,7 @@ PLAIN = re.compile("[\\u0250-\U0010ffff]")
 #: Moves a character to its form at the end of a word.
 LAST = 0x1000
 #: Words remembered by each Python worker, in each of two generations, and their most bytes.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 MEMO_BYTES = 64
 
 
@@ -96,7 +96,7 @@ class Vocabulary:
         missing = [c for c in self._of_byte if c not in self.vocab or c + self.suffix not in self.vocab]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} byte symbols")
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
     def _symbols_of(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix):
@@ -106,7 +106,7 @@ class Vocabulary:
 
     def symbols_in(self, piece: str) -> str:
         """The piece as symbols, the last one in its word-end form."""
-        text = "".join([self._of_byte[b] for b in piece.encode()])
+        text = piece if piece.isalpha() and piece.isascii() else "".join([self._of_byte[b] for b in piece.encode()])
         return text[:-1] + chr(ord(text[-1]) + LAST) if self.suffix else text
 
     def segments(self, word: str):
@@ -134,7 +134,7 @@ class Vocabulary:
         Takes the two apart in the reverse order of their merges; a merge across the border that
         comes before the one just taken apart would have destroyed it.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._compatible.get(key)
         if known is not None:
             return known
@@ -166,26 +166,34 @@ class Encoder:
         self.matches = ahocorasick.Automaton()
         for token, symbols in vocabulary.symbols.items():
             if symbols:
-                self.matches.add_word(symbols, (token, len(symbols)))
+                self.matches.add_word(symbols, (token, -len(symbols)))
         self.matches.make_automaton()
+        self.numbers = {i: str(i) for i in vocabulary.names}
+        self.pieces = Memo(self._piece)
         self.memo = Memo(self._word)
 
     def piece(self, piece: str) -> list[int]:
         symbols = self.vocabulary.symbols_in(piece)
-        last = [-1] * (len(symbols) + 1)
-        start = [0] * (len(symbols) + 1)
-        compatible = self.vocabulary.compatible
-        for end, (token, length) in self.matches.iter(symbols):
+        size = len(symbols)
+        last, start = [-1] * (size + 1), [0] * (size + 1)
+        known, compatible = self.vocabulary._compatible, self.vocabulary.compatible
+        for end, (token, begin) in self.matches.iter(symbols):
             end += 1
             if last[end] < 0:
-                begin = end - length
-                if begin == 0 or (last[begin] >= 0 and compatible(last[begin], token)):
-                    last[end], start[end] = token, begin
-        ids, at = [], len(symbols)
+                begin += end
+                if begin:
+                    before = last[begin]
+                    fits = known.get(before << 32 | token)
+                    if fits or (fits is None and compatible(before, token)):
+                        last[end], start[end] = token, begin
+                else:
+                    last[end] = token
+        ids, at = [], size
         while at:
             ids.append(last[at])
             at = start[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def word_ids(self, word: str) -> list[int]:
         ids: list[int] = []
@@ -193,9 +201,20 @@ class Encoder:
             ids += [added] if piece is None else self.piece(piece)
         return ids
 
+    def _strings(self, ids: list[int]) -> tuple[str, str]:
+        names, numbers = self.vocabulary.names, self.numbers
+        if len(ids) == 1:
+            return numbers[ids[0]], names[ids[0]]
+        return " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])
+
+    def _piece(self, piece: str) -> tuple[str, str]:
+        return self._strings(self.piece(piece))
+
     def _word(self, word: bytes) -> tuple[str, str]:
-        ids = self.word_ids(word.decode())
-        return " ".join(map(str, ids)), " ".join([self.vocabulary.names[i] for i in ids])
+        if word.isalpha():  # ASCII letters only: one piece
+            return self.pieces[word.lower().decode()]
+        found = [self._strings([added]) if piece is None else self.pieces[piece] for added, piece in self.vocabulary.segments(word.decode())]
+        return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
 
     def encode(self, text: str | None) -> list[int]:
         return [i for w in (text or "").encode().split() for i in self.word_ids(w.decode())]
