@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from .operators import compress, correct, evaluate, expand, parse, search, simil
 from .operators.expand import ALWAYS, FALLBACK, NEVER
 from .operators.index import Index, build_index
 from .plans import corpora
-from .session import importable
+from .session import importable, shared_folder
 from .sources.persist import load_index, save_index
 
 
@@ -221,8 +221,7 @@ def _dictionary_lookup(spark, folder):
 
 
 def _index_roundtrip(spark, folder):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="notesearch-index-")
-    path = f"{base.rstrip('/')}/saved-index"
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     save_index(_lines(spark, folder), path)
     return load_index(spark, path).postings
 

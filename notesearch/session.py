@@ -16,19 +16,22 @@ def session(name: str = "notesearch", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that later reads see the same rows even if executors are lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local session without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="notesearch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
-    The folder is the one of spark.checkpoint.dir; a local session without it gets a temporary one.
-    """
+
+def stable(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that later reads see the same rows even if executors are lost."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="notesearch-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
