@@ -12,18 +12,23 @@ from .functions.codecs import skip_cost
 from .functions.text import escape_html, term_grams, tokens, url_parameters
 from .operators import compress, correct, evaluate, expand, parse, search, similarity
 from .operators.expand import ALWAYS, FALLBACK, NEVER
-from .operators.index import Index, build_index
+from .operators.index import Index, build_index, settled
 from .plans import corpora
-from .session import importable, shared_folder
+from .session import importable, shared_folder, stable
 from .sources.persist import load_index, save_index
 
 
 def _documents(spark, folder) -> Index:
-    return build_index(corpora.documents(spark, folder))
+    return settled(build_index(corpora.documents(spark, folder)))
 
 
-def _lines(spark, folder) -> Index:
-    return build_index(corpora.line_documents(spark, folder))
+def _line_rows(spark, folder) -> DataFrame:
+    return stable(corpora.lines(spark, folder))
+
+
+def _lines(spark, folder, rows: DataFrame | None = None) -> Index:
+    rows = _line_rows(spark, folder) if rows is None else rows
+    return settled(build_index(rows.select("doc", F.concat_ws(" ", "code", "descr").alias("text"))))
 
 
 def _asked(spark, kind="documents") -> DataFrame:
@@ -122,16 +127,16 @@ def _corrected_postings(spark, folder):
 
 
 def _corrected_search(spark, folder):
-    return search.search_ranked(correct.corrected_index(_lines(spark, folder)), _asked(spark, "lines"), search.BM25, True, FALLBACK)
+    return search.search_ranked(settled(correct.corrected_index(_lines(spark, folder))), _asked(spark, "lines"), search.BM25, True, FALLBACK)
 
 
 def _correction_eval(spark, folder):
-    rows = corpora.lines(spark, folder)
-    return correct.correction_eval(rows, _lines(spark, folder).terms)
+    rows = _line_rows(spark, folder)
+    return correct.correction_eval(rows, _lines(spark, folder, rows).terms)
 
 
 def _note(function):
-    return lambda spark, folder: function(corpora.notes(spark, folder))
+    return lambda spark, folder: function(stable(corpora.notes(spark, folder)))
 
 
 def _headers(notes):
@@ -143,35 +148,38 @@ def _reason_counts(notes):
 
 
 def _known_items(spark, folder):
-    return evaluate.known_items(corpora.lines(spark, folder))
+    return evaluate.known_items(_line_rows(spark, folder))
 
 
 def _set_matrix(spark, folder):
-    index = _lines(spark, folder).cache()
-    corrected = correct.corrected_index(index).cache()
-    return evaluate.set_matrix(index, corrected, corpora.lines(spark, folder).cache())
+    rows = _line_rows(spark, folder)
+    index = _lines(spark, folder, rows)
+    return evaluate.set_matrix(index, settled(correct.corrected_index(index)), rows)
 
 
 def _rank_matrix(spark, folder):
-    return evaluate.rank_matrix(_lines(spark, folder).cache(), corpora.lines(spark, folder).cache())
+    rows = _line_rows(spark, folder)
+    return evaluate.rank_matrix(_lines(spark, folder, rows), rows)
 
 
 def _set_measures(spark, folder):
-    index, rows = _lines(spark, folder), corpora.lines(spark, folder)
+    rows = _line_rows(spark, folder)
+    index = _lines(spark, folder, rows)
     queries, qrels = evaluate.collection(rows)
     m = evaluate.set_measures(search.search(index, queries, NEVER), queries, qrels, index.corpus_stats)
     return m.select("query_id", "has_variants", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
 
 
 def _rank_measures(spark, folder):
-    index, rows = _lines(spark, folder), corpora.lines(spark, folder)
+    rows = _line_rows(spark, folder)
+    index = _lines(spark, folder, rows)
     queries, qrels = evaluate.collection(rows)
     m = evaluate.rank_measures(search.search_ranked(index, queries, search.BM25, True, NEVER), queries, qrels)
     return m.select("query_id", "has_variants", *(F.round(c, 6).alias(c) for c in ("ap", "p1", "r_precision")))
 
 
 def _model_word_pairs(spark, folder):
-    items = evaluate.known_items(corpora.lines(spark, folder))
+    items = evaluate.known_items(_line_rows(spark, folder))
     return items.select(F.col("code").alias("pair_id"), F.split("exact", " ")[0].alias("a"), F.split("exact", " ")[1].alias("b"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
-from .correct import corrected_index, reference_readings
+from ..session import stable
+from .correct import reference_readings
 from .expand import ALWAYS, FALLBACK, NEVER
 from .index import Index
 from .search import BM25, NO_SCORE, TFIDF, search, search_ranked
@@ -33,7 +34,7 @@ def known_items(lines: DataFrame) -> DataFrame:
 
 def collection(lines: DataFrame, kind: str = "exact") -> tuple[DataFrame, DataFrame]:
     """queries (query_id, text, has_variants) and qrels (query_id, doc): all lines of the code are relevant."""
-    items = known_items(lines)
+    items = stable(known_items(lines))
     queries = items.select(F.col("code").alias("query_id"), F.col(kind).alias("text"), "has_variants")
     return queries, lines.select(F.col("code").alias("query_id"), "doc").join(items.select(F.col("code").alias("query_id")), "query_id", "left_semi")
 
@@ -92,7 +93,3 @@ def rank_matrix(index: Index, lines: DataFrame) -> DataFrame:
     systems = [(f"{'and' if every else 'or'} {model}", model, every, NEVER) for every in (True, False) for model in (NO_SCORE, TFIDF, BM25)]
     systems += [(f"fuzzy always, and {model}", model, True, ALWAYS) for model in (TFIDF, BM25)]
     return _stack([averages(rank_measures(search_ranked(index, queries, model, every, mode), queries, qrels), name) for name, model, every, mode in systems])
-
-
-def corrected_of(index: Index) -> Index:
-    return corrected_index(index)

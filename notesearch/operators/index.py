@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import stable
 
 
 @dataclass
@@ -40,9 +41,22 @@ def build_index(docs: DataFrame, corrections: DataFrame | None = None) -> Index:
     if corrections is not None:  # after counting, so that each (term, doc) is looked up once
         fixed = counted.join(corrections.select("term", "fixed"), "term", "left")
         counted = fixed.groupBy(F.coalesce("fixed", "term").alias("term"), "doc").agg(F.sum("tf").alias("tf"))
-    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index_of(docs, counted)
+
+
+def index_of(docs: DataFrame, postings: DataFrame) -> Index:
+    """Dictionary and statistics of given postings (term, doc, tf)."""
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = 1 + F.ln("tf")
-    stats = counted.groupBy("doc").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    stats = postings.groupBy("doc").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
     stats = docs.select("doc").join(stats, "doc", "left").select("doc", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
     corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len") / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
-    return Index(docs.select("doc", "text"), counted, terms, stats, corpus)
+    return Index(docs.select("doc", "text"), postings, terms, stats, corpus)
+
+
+def settled(index: Index) -> Index:
+    """The index with its tables computed once, in the shared folder: plans that read it several times do no work twice."""
+    once = index_of(index.docs, stable(index.postings))
+    once.terms, once.doc_stats = stable(once.terms), stable(once.doc_stats)
+    once.corpus_stats = once.doc_stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len") / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
+    return once

@@ -7,10 +7,9 @@ appended; document frequencies and statistics are views over what is there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import Index, build_index
+from ..operators.index import Index, build_index, index_of
 
 
 def add_documents(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -31,9 +30,4 @@ def grown_index(spark: SparkSession, path: str) -> Index:
     """The index over all batches so far."""
     docs = spark.read.parquet(f"{path}/docs").select("doc", "text")
     postings = spark.read.parquet(f"{path}/postings").select("term", "doc", "tf")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = 1 + F.ln("tf")
-    stats = postings.groupBy("doc").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    stats = docs.select("doc").join(stats, "doc", "left").fillna(0, ["len"]).fillna(0.0, ["norm"])
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    return Index(docs, postings, terms, stats, corpus)
+    return index_of(docs, postings)
