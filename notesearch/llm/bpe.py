@@ -33,7 +33,7 @@ PLAIN = re.compile("[\\u0250-\U0010ffff]")
 #: Moves a character to its form at the end of a word.
 LAST = 0x1000
 #: Words remembered by each Python worker, in each of two generations, and their most bytes.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 MEMO_BYTES = 64
 
 
@@ -45,23 +45,28 @@ def byte_characters() -> list[str]:
 
 
 class Memo(dict):
-    """Remembers make(key) for the keys used lately; holds two generations of MEMO_WORDS at most."""
+    """Remembers make(key) for the keys used lately; holds two generations of `most` keys."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Gives the memory back; called when a task ends, as workers live on beside other operators."""
+        self.old = {}
+        self.clear()
+
 
 class Vocabulary:
     """A byte-level BPE vocabulary with word ends: its tokens, merges and text rules."""
@@ -255,6 +260,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     ids.append([int(x) for x in numbers.split()])
             columns = {"doc_id": batch.column(0), **({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})}
             yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text})
+        encoder(path).memo.forget()
+        encoder(path).pieces.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -44,6 +44,8 @@ DECLARED_RIGHT = 0.9
 #: Words beyond this many add no further certainty.
 TEXT_WEIGHT_WORDS = 200.0
 ACCEPT = 0.5
+#: Words whose likelihoods a worker remembers, in each of two generations.
+MEMO_WORDS = 50_000
 
 _word = re.compile(r"[^\W\d_]+")
 _drop = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -133,7 +135,7 @@ def text_evidence(records: DataFrame, model: TextModel, carry: list[str], is_pag
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]
 
     def run(batches):
-        memo = Memo(sent.value.word)
+        memo = Memo(sent.value.word, MEMO_WORDS)
         for batch in batches:
             n, likelihoods = [], []
             for text in batch.column(len(carry)).to_pylist():

@@ -38,7 +38,7 @@ MARGIN = 0.06
 #: Rows of a block within a band group.
 BLOCK = 1024
 #: Words whose hash a worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240607)
@@ -148,6 +148,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(keys)
                 sketches.append(sketch(s) + keys.astype(np.uint32).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+        _words.clear()
 
     return rows.mapInArrow(run, schema)
 
@@ -257,6 +258,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                     cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+        _words.clear()
 
     return write_table(rows.mapInArrow(run, "cls long, shingles binary"), "sets")
 

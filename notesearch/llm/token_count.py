@@ -144,5 +144,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             n = [count(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
+        transducer(path).memo.forget()
 
     return rows.mapInArrow(run, schema)
