@@ -14,6 +14,7 @@ columns play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -236,7 +237,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary; path must exist on every executor."""
+    """One for each task and vocabulary; path must exist on every executor."""
     return Encoder(Vocabulary(path))
 
 
@@ -262,6 +263,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text})
         encoder(path).memo.forget()
         encoder(path).pieces.forget()
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its memories refer to each other
 
     return rows.mapInArrow(run, schema)
 
