@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .shared import broadcast_if_small, join_groups, null_safe_key, ready_workers, write_table
+from .shared import broadcast_if_small, join_groups, null_safe_key, ready_workers, text_digest, write_table
 
 #: Documents of each language that the likelihoods are fitted on, at most, and the languages at most.
 SAMPLE_ROWS = 300
@@ -192,15 +192,21 @@ def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id",
     return fuse(evidence, model.languages, ["page_id"])
 
 
+def _judged_documents(docs: DataFrame, model: TextModel, id_col: str, text_col: str, source_col: str, carry: dict[str, Column]) -> DataFrame:
+    columns = {"doc_id": F.col(id_col), "host": null_safe_key(F.col(source_col)), "suffix": F.lit(""), "declared": F.lit(""), **carry, "text": F.col(text_col)}
+    rows = docs.select(*(c.alias(name) for name, c in columns.items()))
+    evidence = write_table(text_evidence(rows, model, rows.columns[:-1], False), "evidence")
+    return fuse(evidence, model.languages, ["doc_id", *carry]).drop("declared")
+
+
 def identify_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, lang, posterior, n_words, declared, host, accepted; its source stands for the host."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), null_safe_key(F.col(source_col)).alias("host"), F.lit("").alias("suffix"), F.lit("").alias("declared"), F.col(text_col).alias("text"))
-    evidence = write_table(text_evidence(rows, model, ["doc_id", "host", "suffix", "declared"], False), "evidence")
-    return fuse(evidence, model.languages, ["doc_id"]).drop("declared")
+    """Per document: doc_id, lang, posterior, n_words, host, accepted; its source stands for the host."""
+    return _judged_documents(docs, model, id_col, text_col, source_col, {})
 
 
 def accepted_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs without those that identification rejects, columns unchanged."""
-    verdicts = identify_documents(docs, model, id_col, text_col, source_col)
-    rejected = write_table(verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias("__drop")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(rejected), F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)
+    """docs without those that identification rejects, columns unchanged.  A row is judged by its id, source and text together."""
+    verdicts = _judged_documents(docs, model, id_col, text_col, source_col, {"digest": text_digest(F.col(text_col))})
+    rejected = verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias("__drop"), F.col("host").alias("__host"), F.col("digest").alias("__text")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__drop")) & (null_safe_key(F.col(source_col)) == F.col("__host")) & (text_digest(F.col(text_col)) == F.col("__text"))
+    return docs.join(broadcast_if_small(write_table(rejected, "rejected")), same, "left_anti").select(docs.columns)

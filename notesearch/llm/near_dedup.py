@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import broadcast_if_small, join_groups, ready_workers, write_table
+from .shared import broadcast_if_small, join_groups, ready_workers, text_digest, write_table
 
 #: Rows of a band and bands: a pair of similarity 0.8 meets in a band but for 3 in a million.
 BAND_ROWS, BANDS = 5, 32
@@ -132,10 +132,10 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (hash of the set, null if empty), bands, sketch."""
+    """Per row: doc_id, n_shingles, cls (hash of the set, null if empty), bands, sketch, digest (of the text)."""
     ready_workers(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bands array<long>, sketch binary"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_digest(F.col(text_col)).alias("digest"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bands array<long>, sketch binary, digest binary"
 
     def run(batches):
         for batch in batches:
@@ -147,7 +147,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = band_keys(s) if len(s) else None
                 bands.append(keys)
                 sketches.append(sketch(s) + keys.astype(np.uint32).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()), "digest": batch.column(2)})
         _words.clear()
 
     return rows.mapInArrow(run, schema)
@@ -287,7 +287,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, cls.
+    """Per row: doc_id, n_shingles, component_id, kept, cls, digest (of the text).
 
     Rows are linked where 100 * intersection >= percent * union of their shingle sets.
     component_id is the smallest doc_id reachable by links, and kept is true for that row.
@@ -322,13 +322,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     named = write_table(named, "classes")
     smallest = write_table(named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")), "components")
     of_class = write_table(join_groups(named, smallest, ["label"], "n_classes", n_keys).select("cls", "copies", "component_id"), "verdicts")
-    slim = rows.select("doc_id", "n_shingles", "cls")
-    full = join_groups(slim.filter("cls is not null"), of_class, ["cls"], "copies", rows.count()).select("doc_id", "n_shingles", "component_id", "cls")
-    empty = slim.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls")
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "cls")
+    slim = rows.select("doc_id", "n_shingles", "cls", "digest")
+    full = join_groups(slim.filter("cls is not null"), of_class, ["cls"], "copies", rows.count()).select("doc_id", "n_shingles", "component_id", "cls", "digest")
+    empty = slim.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", "digest")
+    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "cls", "digest")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component only, columns unchanged."""
-    verdicts = write_table(near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
-    return docs.join(broadcast_if_small(verdicts), F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti").select(docs.columns)
+    """docs with the smallest id of each component only, columns unchanged.  A row is judged by its id and text together."""
+    verdicts = write_table(near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__drop"), F.col("digest").alias("__text")).distinct(), "dropped")
+    same = F.col(id_col).eqNullSafe(F.col("__drop")) & (text_digest(F.col(text_col)) == F.col("__text"))
+    return docs.join(broadcast_if_small(verdicts), same, "left_anti").select(docs.columns)

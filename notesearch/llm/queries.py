@@ -70,7 +70,7 @@ def op7_exact_dedup(spark, folder):
 
 
 def op8_minhash_near_dedup(spark, folder):
-    return near_dedup.near_duplicates(_table(spark, folder, "documents"), percent=85).drop("cls")
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"), percent=85).drop("cls", "digest")
 
 
 def op9_sharding(spark, folder):

@@ -98,6 +98,11 @@ def null_safe_key(column: Column) -> Column:
     return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), text))
 
 
+def text_digest(text: Column) -> Column:
+    """32 bytes that tell texts apart; null is empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def broadcast_if_small(table: DataFrame) -> DataFrame:
     """A written table of narrow rows, to be broadcast if its count allows; beyond that a shuffle joins it."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -140,3 +140,8 @@ def test_components(spark, monkeypatch, broadcast_rows):
     got = {r.node: r.label for r in components.connected_components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 5 for k in (5, 30, 31, 32, 33, 34)}}
     assert components.connected_components(links.limit(0)).count() == 0
+
+
+def test_near_drop_spares_other_texts_of_an_id(spark):
+    rows = [(None, "a b c d e f", 1), (4, "A b c d e f", 2), (None, "quite another text without any copy", 3), (None, None, 4), (7, "a b c d e f ", 5), (7, "the second text of a repeated id", 6)]
+    assert sorted(r.keep_id for r in near_dedup.drop_near_copies(docs_of(spark, rows)).collect()) == [2, 3, 4, 6]

@@ -266,3 +266,10 @@ def test_sha_of_probe_conversation(spark, tmp_path):
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{probe}\nassistant\n{probe}\n".encode()).hexdigest()
     assert (got[-7].n_turns, got[-7].loss_chars, got[-7].loss_sha256) == (2, len(probe), hashlib.sha256(probe.encode()).hexdigest())
     assert (got[1].loss_chars, got[1].loss_sha256) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_rejection_spares_other_texts_of_an_id(spark):
+    rows = [(k, t, lang, "s") for k in range(3) for lang, t in TEXT.items()] + [(None, "", "en", "s"), (None, TEXT["en"], "en", "s"), (7, "12 34", "fr", "s"), (7, TEXT["fr"], "fr", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = sorted(language.accepted_documents(docs, language.fit_text_model(docs)).collect(), key=lambda r: r.doc_id or 0)
+    assert [(r.doc_id, r.text) for r in left if r.doc_id in (None, 7)] == [(None, TEXT["en"]), (7, TEXT["fr"])] and len(left) == 11
