@@ -7,8 +7,8 @@ confirmed on the full sets.
 
 A group of copies is never expanded into all pairs.  Texts with equal sets are one class.  Within a
 band group, a first round confirms one spanning forest of the most similar pairs; a second round
-tests every pair whose members are still in different components and whose estimate does not rule
-the link out, so no link between components is lost.  Band groups of any size are cut into blocks.
+tests every pair whose members are still in different components and whose sketches do not rule the
+link out: by a bound that always holds, or by an estimate so low that MISS bounds its probability.  Band groups of any size are cut into blocks.
 
 Defined results.  Null text is empty.  A text without words has an empty set and no links.  A text
 with fewer words than a shingle is one shingle.  Null ids never are the smallest id unless a
@@ -18,6 +18,8 @@ and ties share their class.  Other columns play no part; an empty table gives an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +35,10 @@ BAND_ROWS, BANDS = 5, 32
 FIRST_BANDS = 8
 #: Bins of the packed signature and bits kept of each minimum.
 BINS, LOW_BITS = 1024, 2
-#: An estimate this far under the threshold rules a pair out: 4.5 standard deviations at BINS bins.
+#: Round one, whose omissions round two makes good, leaves out pairs estimated this far under the threshold.
 MARGIN = 0.06
+#: The most probable loss of a link by round two's estimate, for each pair.
+MISS = 1e-9
 #: Rows of a block within a band group.
 BLOCK = 1024
 #: Words whose hash a worker remembers.
@@ -131,6 +135,34 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (agree - chance * n_both) / ((1 - chance) * np.maximum(either, 1))
 
 
+def margins(threshold: float, bins: np.ndarray) -> np.ndarray:
+    """How far under the threshold the estimate of a link may fall, but for a probability of MISS; bins are those either set occupies.
+
+    A bin adds 1, 0 or -1/3 to the mean; the variance is at most that of a pair at the threshold.  By
+    Bernstein's inequality (bins are drawn without replacement, which only narrows the tail) the
+    deviation x satisfies bins * x**2 = 2 * log(1 / MISS) * (variance + 4/9 * x).
+    """
+    chance = 0.5**LOW_BITS
+    t = max(threshold, 0.5)
+    variance = t * (1 - t) + (1 - t) * chance / (1 - chance)
+    k = -math.log(MISS) / np.maximum(bins, 1)
+    step = k / (3 * (1 - chance))
+    return step + np.sqrt(step**2 + 2 * k * variance)
+
+
+def most_common(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray) -> np.ndarray:
+    """Shingles that one set can share with each of many, at most.
+
+    A common shingle is the least of its bin in both sets, so that the bin agrees, or it is one of
+    those that are not the least of their bin in one of the sets.
+    """
+    differ = np.zeros_like(one[0] & many[0])
+    for k in range(1, 1 + LOW_BITS):
+        differ |= one[k] ^ many[k]
+    count = lambda x: np.bitwise_count(x).sum(-1, dtype=np.int64)
+    return count(one[0] & many[0] & ~differ) + (n_one - count(one[0])) + (n_many - count(many[0]))
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, n_shingles, cls (hash of the set, null if empty), bands, sketch, digest (of the text)."""
     ready_workers(docs.sparkSession)
@@ -160,13 +192,13 @@ def _forest(parent: dict, x):
     return x
 
 
-def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[bytes], band_at: int, least: float, forest: bool):
-    """Candidate pairs (a, b) of one block whose labels differ and whose estimate is at least `least`.
+def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[bytes], band_at: int, threshold: float, forest: bool):
+    """Candidate pairs (a, b) of one block whose labels differ and that may reach the threshold.
 
     A pair that meets in several bands counts in the first only, unless a forest is wanted.
 
     side tells the two parts of a block that pairs two parts of a large group (all 0: one part).
-    forest: of these pairs only a spanning forest of the most similar.
+    forest: of the pairs estimated at threshold - MARGIN or more only a spanning forest of the most similar.
     """
     planes, keys = unpack(sketches), short_keys(sketches)
     a, b, value = [], [], []
@@ -175,12 +207,16 @@ def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.
         if paired and side[i]:
             continue
         js = np.arange(i + 1, len(cls)) if not paired else np.nonzero(side)[0]
-        ratio = np.minimum(n[i], n[js]) >= (least + MARGIN) * np.maximum(n[i], n[js]) - 1e-9
+        ratio = np.minimum(n[i], n[js]) >= threshold * np.maximum(n[i], n[js]) - 1e-9
         js = js[(label[js] != label[i]) & ratio]
         if len(js):
             e = estimates(planes[:, i], planes[:, js])
-            ok = e >= least
-            if not forest:
+            if forest:
+                ok = e >= threshold - MARGIN
+            else:
+                either = np.bitwise_count(planes[0, i] | planes[0, js]).sum(1, dtype=np.int64)
+                common = most_common(planes[:, i], planes[:, js], n[i], n[js])
+                ok = (e >= threshold - margins(threshold, either)) & (common >= threshold * (n[i] + n[js] - common) - 1e-9)
                 ok &= (keys[js] == keys[i]).argmax(1) == band_at
             js = js[ok]
             a += [i] * len(js)
@@ -211,7 +247,7 @@ def _candidates(members: DataFrame, threshold: float, forest: bool) -> DataFrame
                 cls, n, label, side = (np.array([r[k] for r in held], np.int64) for k in range(4))
                 if label.min() != label.max():
                     order = np.argsort(cls, kind="stable")
-                    a, b = _pairs_of_block(cls[order], n[order], label[order], side[order], [held[k][4] for k in order], held[0][5], threshold - MARGIN, forest)
+                    a, b = _pairs_of_block(cls[order], n[order], label[order], side[order], [held[k][4] for k in order], held[0][5], threshold, forest)
                     if len(a):
                         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
             return None

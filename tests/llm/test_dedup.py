@@ -145,3 +145,28 @@ def test_components(spark, monkeypatch, broadcast_rows):
 def test_near_drop_spares_other_texts_of_an_id(spark):
     rows = [(None, "a b c d e f", 1), (4, "A b c d e f", 2), (None, "quite another text without any copy", 3), (None, None, 4), (7, "a b c d e f ", 5), (7, "the second text of a repeated id", 6)]
     assert sorted(r.keep_id for r in near_dedup.drop_near_copies(docs_of(spark, rows)).collect()) == [2, 3, 4, 6]
+
+
+def test_short_links_that_the_sketch_underrates_are_found(spark):
+    rng, texts = random.Random(11), []
+    while len(texts) < 6:
+        words = [str(rng.random()) for _ in range(11)]
+        pair = [near_dedup.shingle_set(" ".join(w)) for w in (words, words[:10])]
+        planes = near_dedup.unpack([near_dedup.sketch(s) for s in pair])
+        if near_dedup.estimates(planes[:, 0], planes[:, 1:])[0] < 0.85 - near_dedup.MARGIN:
+            texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(words[:10]))]
+    got = near_dedup.near_duplicates(docs_of(spark, [(i, t, 0) for i, t in texts]), 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_no_link_is_ruled_out():
+    rng, zero = np.random.default_rng(5), np.zeros(2, np.int64)
+    for n, common in [(2, 2), (5, 4), (6, 5), (10, 8), (50, 40), (300, 240), (2000, 1600)] * 150:
+        whole = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets = [np.sort(whole), np.sort(whole[:common])]
+        sketches = [near_dedup.sketch(s) + bytes(4 * near_dedup.BANDS) for s in sets]
+        a, b = near_dedup._pairs_of_block(np.arange(2), np.array([n, common]), np.arange(2), zero, sketches, 0, 0.8, False)
+        assert (a.tolist(), b.tolist()) == ([0], [1])
+    apart = [near_dedup.sketch(np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))) + bytes(4 * near_dedup.BANDS) for n in (6, 6, 900, 900)]
+    a, _ = near_dedup._pairs_of_block(np.arange(4), np.array([6, 6, 900, 900]), np.arange(4), np.zeros(4, np.int64), apart, 0, 0.8, False)
+    assert len(a) == 0
