@@ -8,8 +8,11 @@ The posterior of a language is the product of four sources of evidence:
 * the host: a prior smoothed towards its suffix and that towards all records, each level counted by a
   grouped aggregation over every record.
 
-A record is rejected when its text has no word of letters, so that nothing speaks for a language, or
-when the best language's posterior is under ACCEPT; clean text of a known language is far above it.
+A record is rejected when its text has no word of letters, so that nothing speaks for a language, when
+the best language's posterior is under ACCEPT, or when the text resembles no fitted language: its mean
+log-likelihood a trigram is under the bound of every language.  A bound is fitted on labelled texts: halfway
+between what they reach when left out of the counts and what their letters reach in random order, and
+lower for short texts, of which little can be told.
 
 Defined results.  Null texts and pages are empty: their language follows from the other evidence, and
 they are rejected.  A null or unreadable address or declaration is no evidence.  Equal posteriors fall
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import Counter
 
@@ -44,6 +48,10 @@ DECLARED_RIGHT = 0.9
 #: Words beyond this many add no further certainty.
 TEXT_WEIGHT_WORDS = 200.0
 ACCEPT = 0.5
+#: A text may fall this many standard deviations, at its number of trigrams, under the bound of a language.
+BOUND_DEVIATIONS = 2.0
+#: Letters drawn to tell how noise scores.
+NOISE_LETTERS = 5_000
 #: Words whose likelihoods a worker remembers, in each of two generations.
 MEMO_WORDS = 50_000
 
@@ -60,7 +68,7 @@ def visible_text(page: str | None) -> str:
 class TextModel:
     """Trigram likelihoods by language; evidence() is the mean gain of a word over the best language."""
 
-    def __init__(self, counts_of: dict[str, Counter]):
+    def __init__(self, counts_of: dict[str, Counter], texts_of: dict[str, list[Counter]] | None = None):
         self.languages = sorted(counts_of)
         tables = []
         for language in self.languages:
@@ -71,6 +79,38 @@ class TextModel:
         size = len(known) + 1
         self.table = {t: np.array([math.log((best.get(t, 0) + 0.5) / (total + 0.5 * size)) for best, total in tables]) for t in known}
         self.unknown = np.array([math.log(0.5 / (total + 0.5 * size)) for _, total in tables])
+        self._tables = [(best, total, size) for best, total in tables]
+        self.bound, self.spread = np.array([self._bound(k, (texts_of or {}).get(language, [])) for k, language in enumerate(self.languages)]).T
+        del self._tables
+
+    def _bound(self, k: int, texts: list[Counter]) -> tuple[float, float]:
+        """The mean log-likelihood a trigram that parts texts of language k from letter noise, and the variance of one trigram.
+
+        It is halfway between the median of the labelled texts, each left out of the counts, and the
+        mean of letters drawn independently as often as the language has them.
+        """
+        best, total, size = self._tables[k]
+        means, spreads, letters = [], [], Counter()
+        for text in texts:
+            n = sum(text.values())
+            for t, c in text.items():
+                letters[t[1]] += c
+            if not n or n == total:
+                continue
+            rest = total - n + 0.5 * size
+            values = np.array([math.log((max(0, best.get(t, 0) - c) + 0.5) / rest) for t, c in text.items()])
+            weights = np.array(list(text.values())) / n
+            means.append(float(values @ weights))
+            spreads.append(float((values - means[-1]) ** 2 @ weights))
+        if not means:
+            return -math.inf, 0.0
+        drawn = random.Random(0).choices(sorted(letters), [letters[x] for x in sorted(letters)], k=NOISE_LETTERS)
+        noise = np.mean([self.table.get("".join(drawn[j : j + 3]), self.unknown)[k] for j in range(len(drawn) - 2)])
+        return (float(np.median(means)) + float(noise)) / 2, float(np.median(spreads))
+
+    def resembles(self, total: np.ndarray, n: int) -> bool:
+        """Whether a text of n trigrams with these log-likelihoods is within the bound of some language."""
+        return not n or bool((total / n >= self.bound - BOUND_DEVIATIONS * np.sqrt(self.spread / n)).any())
 
     @staticmethod
     def trigrams(text: str) -> Counter:
@@ -83,17 +123,18 @@ class TextModel:
             total = total + self.table.get(padded[k : k + 3], self.unknown)
         return total
 
-    def evidence(self, text: str, memo) -> tuple[np.ndarray, int]:
-        """Log-likelihoods of the text (all words; tempered beyond TEXT_WEIGHT_WORDS) and its number of words."""
+    def evidence(self, text: str, memo) -> tuple[np.ndarray, int, bool]:
+        """Log-likelihoods of the text (all words; tempered beyond TEXT_WEIGHT_WORDS), its number of words and whether it resembles a language."""
         words = _word.findall(text.lower())
-        total = np.zeros(len(self.languages))
+        total, known = np.zeros(len(self.languages)), True
         if words:
             seen: dict[str, int] = {}
             for w in words:
                 seen[w] = seen.get(w, 0) + 1
             total = np.array([memo[w] for w in seen]).T @ np.array(list(seen.values()), np.float64)
+            known = self.resembles(total, sum(map(len, words)))
             total = total * min(1.0, TEXT_WEIGHT_WORDS / len(words))
-        return total, len(words)
+        return total, len(words), known
 
 
 def fit_text_model(docs: DataFrame, language_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> TextModel:
@@ -106,12 +147,15 @@ def fit_text_model(docs: DataFrame, language_col: str = "lang", text_col: str =
         some = bits.filter(F.col("lang") == row["lang"]).orderBy("hash", "id").limit(SAMPLE_ROWS)
         chosen = some if chosen is None else chosen.unionByName(some)
     counts_of: dict[str, Counter] = {}
+    texts_of: dict[str, list[Counter]] = {}
     if chosen is not None:
         texts = labelled.select(F.col(language_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         picked = texts.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"]).orderBy("lang", "id", "text").limit(SAMPLE_ROWS * len(counts))
         for row in picked.toLocalIterator():
-            counts_of.setdefault(row["lang"], Counter()).update(TextModel.trigrams(row["text"]))
-    return TextModel(counts_of or {"und": Counter()})
+            trigrams = TextModel.trigrams(row["text"])
+            counts_of.setdefault(row["lang"], Counter()).update(trigrams)
+            texts_of.setdefault(row["lang"], []).append(trigrams)
+    return TextModel(counts_of or {"und": Counter()}, texts_of)
 
 
 def host_of(address: Column) -> Column:
@@ -128,7 +172,7 @@ def declared_language(page: Column) -> Column:
 
 
 def text_evidence(records: DataFrame, model: TextModel, carry: list[str], is_page: bool) -> DataFrame:
-    """carry columns, n_words and loglik array<double>; records has the column text."""
+    """carry columns, n_words, loglik array<double> and known (resembles a fitted language); records has the column text."""
     ready_workers(records.sparkSession)
     sent = records.sparkSession.sparkContext.broadcast(model)
     rows = records.select(*carry, "text")
@@ -137,20 +181,21 @@ def text_evidence(records: DataFrame, model: TextModel, carry: list[str], is_pag
     def run(batches):
         memo = Memo(sent.value.word, MEMO_WORDS)
         for batch in batches:
-            n, likelihoods = [], []
+            n, likelihoods, resembling = [], [], []
             for text in batch.column(len(carry)).to_pylist():
-                total, words = sent.value.evidence(visible_text(text) if is_page else (text or ""), memo)
+                total, words, known = sent.value.evidence(visible_text(text) if is_page else (text or ""), memo)
                 n.append(words)
                 likelihoods.append(total.tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(n, pa.int64()), pa.array(likelihoods, pa.list_(pa.float64()))], names=[*carry, "n_words", "loglik"])
+                resembling.append(known)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(n, pa.int64()), pa.array(likelihoods, pa.list_(pa.float64())), pa.array(resembling, pa.bool_())], names=[*carry, "n_words", "loglik", "known"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "n_words long", "loglik array<double>"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "n_words long", "loglik array<double>", "known boolean"]))
 
 
 def fuse(evidence: DataFrame, languages: list[str], carry: list[str]) -> DataFrame:
     """carry columns, lang, posterior, n_words, accepted.
 
-    evidence has carry, n_words, loglik, declared, suffix, host.  Votes for the priors are the declared
+    evidence has carry, n_words, loglik, declared, suffix, host and may have known.  Votes for the priors are the declared
     language or, without one, the likeliest by the text.
     """
     best = F.array_max("loglik")
@@ -181,7 +226,8 @@ def fuse(evidence: DataFrame, languages: list[str], carry: list[str]) -> DataFra
     out = full.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
     weight = F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
     place = F.array_position("scores", F.col("top")).cast("int")
-    return out.select(*carry, F.element_at(F.array(*map(F.lit, languages)), place).alias("lang"), (1.0 / weight).alias("posterior"), "n_words", "declared", "host").withColumn("accepted", (F.col("n_words") > 0) & (F.col("posterior") >= ACCEPT))
+    known = F.col("known") if "known" in evidence.columns else F.lit(True)
+    return out.select(*carry, F.element_at(F.array(*map(F.lit, languages)), place).alias("lang"), (1.0 / weight).alias("posterior"), "n_words", "declared", "host", known.alias("__known")).withColumn("accepted", (F.col("n_words") > 0) & F.col("__known") & (F.col("posterior") >= ACCEPT)).drop("__known")
 
 
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

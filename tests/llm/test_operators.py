@@ -273,3 +273,14 @@ def test_rejection_spares_other_texts_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     left = sorted(language.accepted_documents(docs, language.fit_text_model(docs)).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.doc_id, r.text) for r in left if r.doc_id in (None, 7)] == [(None, TEXT["en"]), (7, TEXT["fr"])] and len(left) == 11
+
+
+def test_noise_and_unfitted_languages_are_rejected(spark):
+    rows = [(k * 3 + n, " ".join(random.Random(k).choices(t.split(), k=30)), lang, "s") for k in range(40) for n, (lang, t) in enumerate(TEXT.items())]
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(50)) for _ in range(20)]
+    foreign = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему", "所有幸福的家庭都是相似的不幸的家庭各有各的不幸", "deadbeefcafe01 " * 40]
+    columns = "doc_id long, text string, lang string, source string"
+    model = language.fit_text_model(spark.createDataFrame(rows, columns))
+    asked = spark.createDataFrame([*rows, *((1000 + k, t, None, "s") for k, t in enumerate([*noise, *foreign]))], columns)
+    assert {r.doc_id for r in language.accepted_documents(asked, model).collect()} == set(range(120))
