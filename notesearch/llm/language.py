@@ -138,19 +138,19 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, language_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> TextModel:
-    """Fits on at most SAMPLE_ROWS labelled documents of each of at most MOST_LANGUAGES languages."""
+    """Fits on at most SAMPLE_ROWS labelled documents, one for each id, of each of at most MOST_LANGUAGES languages."""
     labelled = docs.filter(F.col(language_col).isNotNull() & F.col(text_col).isNotNull())
     bits = labelled.select(F.col(language_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"), F.col(id_col).alias("id"))
     counts = bits.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     chosen = None
     for row in counts:
-        some = bits.filter(F.col("lang") == row["lang"]).orderBy("hash", "id").limit(SAMPLE_ROWS)
+        some = bits.filter(F.col("lang") == row["lang"]).distinct().orderBy("hash", "id").limit(SAMPLE_ROWS)
         chosen = some if chosen is None else chosen.unionByName(some)
     counts_of: dict[str, Counter] = {}
     texts_of: dict[str, list[Counter]] = {}
     if chosen is not None:
         texts = labelled.select(F.col(language_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        picked = texts.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"]).orderBy("lang", "id", "text").limit(SAMPLE_ROWS * len(counts))
+        picked = texts.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).orderBy("lang", "id")
         for row in picked.toLocalIterator():
             trigrams = TextModel.trigrams(row["text"])
             counts_of.setdefault(row["lang"], Counter()).update(trigrams)

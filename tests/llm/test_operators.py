@@ -284,3 +284,10 @@ def test_noise_and_unfitted_languages_are_rejected(spark):
     model = language.fit_text_model(spark.createDataFrame(rows, columns))
     asked = spark.createDataFrame([*rows, *((1000 + k, t, None, "s") for k, t in enumerate([*noise, *foreign]))], columns)
     assert {r.doc_id for r in language.accepted_documents(asked, model).collect()} == set(range(120))
+
+
+def test_repeated_ids_displace_no_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 4)
+    rows = [(1, f"{TEXT['de']} {k}", "de") for k in range(40)] + [(100 + k, TEXT[lang], lang) for k in range(8) for lang in TEXT]
+    model = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "fr"]
