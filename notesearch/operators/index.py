@@ -50,13 +50,21 @@ def index_of(docs: DataFrame, postings: DataFrame) -> Index:
     weight = 1 + F.ln("tf")
     stats = postings.groupBy("doc").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
     stats = docs.select("doc").join(stats, "doc", "left").select("doc", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len") / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
-    return Index(docs.select("doc", "text"), postings, terms, stats, corpus)
+    return Index(docs.select("doc", "text"), postings, terms, stats, _corpus_stats(stats))
 
 
-def settled(index: Index) -> Index:
-    """The index with its tables computed once, in the shared folder: plans that read it several times do no work twice."""
-    once = index_of(index.docs, stable(index.postings))
-    once.terms, once.doc_stats = stable(once.terms), stable(once.doc_stats)
-    once.corpus_stats = once.doc_stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len") / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
+def _corpus_stats(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len") / F.count(F.lit(1)), F.lit(0.0)).alias("avgdl"))
+
+
+def settled(index: Index, *names: str) -> Index:
+    """The index with some of its tables computed once, in the shared folder, for plans that read them several times.
+
+    Without names that is the postings, from which terms and statistics follow by one aggregation each.
+    """
+    once = index_of(index.docs, stable(index.postings, "postings"))
+    for name in names:
+        setattr(once, name, stable(getattr(once, name), name))
+    if "doc_stats" in names:
+        once.corpus_stats = _corpus_stats(once.doc_stats)
     return once

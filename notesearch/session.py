@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables in the shared folder and the sessions that wrote them.
+_written: dict[str, SparkSession] = {}
+
 
 def session(name: str = "notesearch", **settings: str) -> SparkSession:
     """An existing session, or one with adaptive execution; settings use underscores for dots."""
@@ -27,12 +32,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that later reads see the same rows even if executors are lost."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def stable(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder as Parquet and read back.
+
+    It cuts lineage, survives lost executors and keeps column pruning, pushed filters and sizes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of stable() that no later plan reads."""
+    for table in tables:
+        fs, path = _file_system(table.sparkSession, table._shared_path)
+        fs.delete(path, True)
+        _written.pop(table._shared_path, None)
+
+
+@atexit.register
+def _release_all() -> None:
+    """What plans may still read stays until the driver ends."""
+    for path, spark in _written.items():
+        try:
+            fs, jpath = _file_system(spark, path)
+            fs.delete(jpath, True)
+        except Exception:  # the session is gone; its owner clears the shared folder
+            return
 
 
 def importable(df: DataFrame) -> DataFrame:
