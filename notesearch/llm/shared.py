@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window
 
+from ..session import release, stable as write_table  # noqa: F401
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -19,74 +19,36 @@ GAP = r"[\x20\x09-\x0D]+"
 HEAVY_SHARE = 20_000
 #: Groups up to this size are never heavy.
 LIGHT_ROWS = 100
-#: A table of a few numbers a row is broadcast up to this many rows (about 32 MB), once they are counted.
-BROADCAST_ROWS = 500_000
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder; a cluster session is refused,
-    since its executors could not see one another's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="notesearch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    fs, jpath = _hadoop_path(spark, path)
-    fs.delete(jpath, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            drop_table(spark, path)
-        except Exception:  # the session is gone; its owner clears the checkpoint folder
-            return
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes tables of write_table that no later plan reads."""
-    for table in tables:
-        drop_table(table.sparkSession, table._shared_path)
+#: A table is broadcast if its rows, as measured, hold at most this many bytes.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text in one Arrow batch, and its most rows.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 256
 
 
 def ready_workers(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts fit in a Python worker, and lets workers import this package.
+    """Bounds the bytes and rows of Arrow batches of this session, so that long texts fit in a Python worker, and lets workers import this package.
 
     Workers on other machines need the package installed or sent with --py-files.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here, known = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     if here not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(x for x in (known.get("PYTHONPATH"), here) if x)
 
 
+def own_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that no taken name equals, whatever its case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        k = 0
+        while f"__{name}{k}" in used:
+            k += 1
+        out.append(f"__{name}{k}")
+        used.add(out[-1])
+    return out
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -103,20 +65,35 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def measured(table: DataFrame) -> tuple[int, int]:
+    """Rows of a written table and the bytes they hold, variable parts included."""
+    size = F.lit(16)
+    for field in table.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, ArrayType):
+            size = size + 24 + 8 * F.greatest(F.size(column), F.lit(0))
+        else:
+            size = size + 8
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
+
+
 def broadcast_if_small(table: DataFrame) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if its count allows; beyond that a shuffle joins it."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table, to be broadcast if its measured bytes allow; beyond that a shuffle joins it."""
+    return F.broadcast(table) if measured(table)[1] <= BROADCAST_BYTES else table
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """Joins rows with one row per group without sending a hot group to one task.
 
-    Few enough groups are broadcast.  Beyond BROADCAST_ROWS, groups carries the group's number of rows in column ``size``.  A group of more than
+    Groups of at most BROADCAST_BYTES, as measured, are broadcast.  Beyond that, groups carries the group's number of rows in column ``size``.  A group of more than
     max(LIGHT_ROWS, n_rows / HEAVY_SHARE) rows is heavy: at most HEAVY_SHARE groups can be, so they
-    are broadcast.  The others are joined by a shuffle in which no key has more rows than that.
+    are broadcast; keys and other columns are of fixed width.  The others are joined by a shuffle in which no key has more rows than that.
     groups is read more than once: pass a written table.
     """
-    if groups.count() <= BROADCAST_ROWS:
+    if measured(groups)[1] <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys, how)
     bound = max(LIGHT_ROWS, n_rows // HEAVY_SHARE)
     extra = [c for c in groups.columns if c not in keys]

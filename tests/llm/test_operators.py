@@ -200,10 +200,10 @@ def test_quality_gradients_are_right():
 TEXT = {"en": "the cat and the dog with this house", "de": "der hund und die katze mit dem haus", "fr": "le chat et la maison avec les chiens"}
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
-def test_language_of_pages_and_documents(spark, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 32 << 20])
+def test_language_of_pages_and_documents(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(shared, "LIGHT_ROWS", 2)
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast_bytes)
     docs = spark.createDataFrame([(k * 3 + n, " ".join(random.Random(k).sample(t.split(), 5)) * 3, lang, "s", lang) for k in range(40) for n, (lang, t) in enumerate(TEXT.items())] + [(900, None, "en", "s", ""), (901, "12 34 !!", "en", None, ""), (902, "", None, None, "")], "doc_id long, text string, lang string, source string, host string")
     model = language.fit_text_model(docs)
     assert model.languages == ["de", "en", "fr"]
