@@ -36,7 +36,7 @@ def connected_components(links: DataFrame, labels: DataFrame | None = None) -> D
         changed = then.filter("changed").limit(1).count()
         release(now, ahead)
         now = then.drop("changed")
-        now._shared_path = then._shared_path
+        now._shared_path = then._shared_path  # so that release() finds it
         if not changed:
             release(edges)
             return now.select("node", "label")

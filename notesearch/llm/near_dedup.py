@@ -8,7 +8,14 @@ confirmed on the full sets.
 A group of copies is never expanded into all pairs.  Texts with equal sets are one class.  Within a
 band group, a first round confirms one spanning forest of the most similar pairs; a second round
 tests every pair whose members are still in different components and whose sketches do not rule the
-link out: by a bound that always holds, or by an estimate so low that MISS bounds its probability.  Band groups of any size are cut into blocks.
+link out: by a bound that always holds, or by an estimate so low that MISS bounds its probability.
+
+Work in large band groups follows their rows, not their pairs.  In round two the rows outside the
+largest component of a group are its minority.  A minority of at most MINORITY rows is copied to every
+block of the rest.  A larger one, as when many texts share a passage and little else, is recut: its rows
+meet again in bands of further minima, drawn independently, where texts that share only the passage
+part and linked texts part with the probability of missing all bands (3 in a million at similarity
+0.8).  After RECUTS recuts any two blocks that are left are compared in full.
 
 Defined results.  Null text is empty.  A text without words has an empty set and no links.  A text
 with fewer words than a shingle is one shingle.  Null ids never are the smallest id unless a
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import broadcast_if_small, join_groups, ready_workers, text_digest, write_table
+from .shared import broadcast_if_small, join_groups, own_names, ready_workers, release, text_digest, write_table
 
 #: Rows of a band and bands: a pair of similarity 0.8 meets in a band but for 3 in a million.
 BAND_ROWS, BANDS = 5, 32
@@ -39,15 +46,15 @@ BINS, LOW_BITS = 1024, 2
 MARGIN = 0.06
 #: The most probable loss of a link by round two's estimate, for each pair.
 MISS = 1e-9
-#: Rows of a block within a band group.
-BLOCK = 1024
+#: Rows of a block within a band group, the largest minority that goes to every block, and how often groups are recut.
+BLOCK, MINORITY, RECUTS = 256, 512, 2
 #: Words whose hash a worker remembers.
 MEMO_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(1, 2**63, BAND_ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**63, BAND_ROWS * BANDS, dtype=np.uint64)
+_A = _rng.integers(1, 2**63, (1 + RECUTS, BAND_ROWS * BANDS), dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 2**63, (1 + RECUTS, BAND_ROWS * BANDS), dtype=np.uint64)
 _words: dict[bytes, int] = {}
 
 
@@ -84,12 +91,12 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, from BAND_ROWS full minima each."""
+def band_keys(shingles: np.ndarray, family: int = 0) -> np.ndarray:
+    """One 64-bit key per band, from BAND_ROWS full minima each; families are independent."""
     low = np.full(BAND_ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, len(shingles), 1024):
-            np.minimum(low, (shingles[k : k + 1024, None] * _A + _B).min(0), out=low)
+            np.minimum(low, (shingles[k : k + 1024, None] * _A[family] + _B[family]).min(0), out=low)
         rows = (low >> np.uint64(32)).reshape(BANDS, BAND_ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for k in range(BAND_ROWS):
@@ -117,9 +124,9 @@ def unpack(sketches: list[bytes]) -> np.ndarray:
     return words.reshape(len(sketches), 1 + LOW_BITS, BINS // 64).transpose(1, 0, 2)
 
 
-def short_keys(sketches: list[bytes]) -> np.ndarray:
-    """The 32-bit digests of the band keys that describe() appends to a sketch: (rows, BANDS)."""
-    return np.frombuffer(b"".join([s[-4 * BANDS :] for s in sketches]), np.uint32).reshape(len(sketches), BANDS)
+def keys_in(sketches: list[bytes]) -> np.ndarray:
+    """The band keys that describe() appends to a sketch: (rows, BANDS)."""
+    return np.frombuffer(b"".join([s[-8 * BANDS :] for s in sketches]), np.int64).reshape(len(sketches), BANDS)
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -178,7 +185,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 keys = band_keys(s) if len(s) else None
                 bands.append(keys)
-                sketches.append(sketch(s) + keys.astype(np.uint32).tobytes() if len(s) else None)
+                sketches.append(sketch(s) + keys.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()), "digest": batch.column(2)})
         _words.clear()
 
@@ -195,18 +202,17 @@ def _forest(parent: dict, x):
 def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[bytes], band_at: int, threshold: float, forest: bool):
     """Candidate pairs (a, b) of one block whose labels differ and that may reach the threshold.
 
-    A pair that meets in several bands counts in the first only, unless a forest is wanted.
+    A pair counts in the first band that it shares only, unless a forest is wanted.
 
-    side tells the two parts of a block that pairs two parts of a large group (all 0: one part).
+    side says which rows meet: all of side 0; those of side 1 with those of 2 and 3; those of 3 with each other.
     forest: of the pairs estimated at threshold - MARGIN or more only a spanning forest of the most similar.
     """
-    planes, keys = unpack(sketches), short_keys(sketches)
+    planes, keys = unpack(sketches), keys_in(sketches)
     a, b, value = [], [], []
-    paired = bool(side.any())
-    for i in range(len(cls)):
-        if paired and side[i]:
-            continue
-        js = np.arange(i + 1, len(cls)) if not paired else np.nonzero(side)[0]
+    everything = np.arange(len(cls))
+    apart = bool(side.any())
+    for i in np.nonzero(side >= 2)[0] if apart else everything:
+        js = everything[i + 1 :] if not apart else np.nonzero((side == 1) | ((side == 3) & (side[i] == 3) & (everything > i)))[0]
         ratio = np.minimum(n[i], n[js]) >= threshold * np.maximum(n[i], n[js]) - 1e-9
         js = js[(label[js] != label[i]) & ratio]
         if len(js):
@@ -269,26 +275,76 @@ def _candidates(members: DataFrame, threshold: float, forest: bool) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Adds part and side: a group of up to 2 BLOCK rows is one block, a larger one is cut, each two cuts meeting in a block."""
+def _all_cuts(large: DataFrame) -> DataFrame:
+    """Adds part and side: groups cut into blocks, each two of which meet."""
     cuts = F.ceil(F.col("group_rows") / BLOCK).cast("int")
-    whole = members.filter(F.col("group_rows") <= 2 * BLOCK).withColumns({"part": F.lit("0"), "side": F.lit(0)})
     mine = F.pmod(F.xxhash64("cls", "band"), F.col("cuts")).cast("int")
-    large = members.filter(F.col("group_rows") > 2 * BLOCK).withColumn("cuts", cuts).withColumn("mine", mine)
-    spread = large.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
+    spread = large.withColumn("cuts", cuts).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
     part = F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))
-    return whole.unionByName(spread.withColumns({"part": part, "side": (F.col("mine") > F.col("other")).cast("int")}).drop("cuts", "mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return spread.withColumns({"part": part, "side": side}).drop("cuts", "mine", "other")
+
+
+def _minority_everywhere(large: DataFrame) -> DataFrame:
+    """Adds part and side: the largest component of a group is cut into blocks, and the others go to each of them."""
+    cuts = F.ceil(F.col("major_rows") / BLOCK).cast("int")
+    major = F.col("label") == F.col("major")
+    mine = F.pmod(F.xxhash64("cls", "band"), cuts).cast("int")
+    parts = F.when(major, F.array(mine)).otherwise(F.sequence(F.lit(0), cuts - 1))
+    return large.withColumn("__parts", parts).withColumn("part", F.explode("__parts")).withColumn("part", F.col("part").cast("string")).withColumn("side", F.when(major, 1).when(F.col("part") == "0", 3).otherwise(2)).drop("__parts")
+
+
+def _judged_groups(members: DataFrame, n_rows: int) -> DataFrame:
+    """members of groups that hold several components, with group_rows, major (the largest component) and major_rows."""
+    of_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("rows"))
+    most = F.max(F.struct("rows", "label"))
+    groups = of_label.groupBy("band").agg(F.sum("rows").alias("group_rows"), most["label"].alias("major"), most["rows"].alias("major_rows"))
+    mixed = write_table(groups.filter("major_rows < group_rows"), "mixed")
+    return join_groups(members, mixed, ["band"], "group_rows", n_rows)
+
+
+def _finer(large: DataFrame, sets: DataFrame, family: int) -> DataFrame:
+    """large with its groups recut by the bands of another family of minima, read from the full sets."""
+    def run(batches):
+        for batch in batches:
+            keys = [band_keys(np.frombuffer(x, np.uint64), family) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"cls": batch.column(0), "finer": pa.array(keys, pa.list_(pa.int64()))})
+
+    wanted = broadcast_if_small(write_table(large.select("cls").distinct(), "recut"))
+    keys = sets.join(wanted, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, "cls long, finer array<long>")
+    each = large.join(keys, "cls").select("cls", "n", "at", "label", "band", F.explode("finer").alias("finer"))
+    return each.select("cls", "n", "at", "label", F.xxhash64("band", "finer").alias("band"))
+
+
+def _blocks(known: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
+    """Rows (band, part, side, cls, n, at, label) of the blocks that round two compares; known has band, cls, n, at, label."""
+    columns, out = ["band", "part", "side", "cls", "n", "at", "label"], None
+    for family in range(1, RECUTS + 2):
+        judged = write_table(_judged_groups(known, n_rows), "judged")
+        small, minority = F.col("group_rows") <= 2 * BLOCK, F.col("group_rows") - F.col("major_rows")
+        whole = judged.filter(small).withColumns({"part": F.lit("0"), "side": F.lit(0)})
+        lean = _minority_everywhere(judged.filter(~small & (minority <= MINORITY)))
+        blocks = whole.select(columns).unionByName(lean.select(columns))
+        out = blocks if out is None else out.unionByName(blocks)
+        large = judged.filter(~small & (minority > MINORITY))
+        if large.limit(1).count() == 0:
+            return out
+        if family > RECUTS:
+            return out.unionByName(_all_cuts(large).select(columns))
+        known = write_table(_finer(large, sets, family), "finer")
+        n_rows = known.count()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) for the classes in wanted (doc_id, cls), read again from their texts."""
-    ids = broadcast_if_small(wanted).select(F.col("doc_id").alias("__id"))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+    """(cls, shingles) for the rows in wanted (doc_id, digest), read again from their texts."""
+    ids = broadcast_if_small(wanted).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).withColumn("__digest", text_digest(F.col("text")))
+    rows = rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
             cls, sets = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 s = shingle_set(text)
                 if len(s):
                     cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
@@ -330,14 +386,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     threshold = percent / 100
     rows = write_table(describe(docs, id_col, text_col), "sketches")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keys = write_table(classes.select("cls", "n", "doc_id", F.posexplode("bands").alias("at", "band")), "bands")
+    one = F.min(F.struct("doc_id", "digest"))
+    classes = rows.filter("cls is not null").groupBy("cls").agg(one.alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = write_table(classes.select("cls", "n", "one.doc_id", "one.digest", "bands"), "classes")
+    keys = write_table(classes.select("cls", "n", F.posexplode("bands").alias("at", "band")), "bands")
     n_keys = keys.count()
     groups = write_table(keys.groupBy("band").agg(F.count(F.lit(1)).alias("group_rows")).filter("group_rows > 1"), "groups")
     members = write_table(join_groups(keys, groups, ["band"], "group_rows", n_keys), "members")
-    wanted = write_table(members.select("doc_id", "cls").distinct(), "wanted")
-    sets = _sets(docs, wanted, id_col, text_col)
-    sets = write_table(sets.dropDuplicates(["cls"]), "sets")
+    release(keys, groups)
+    met = broadcast_if_small(write_table(members.select("cls").distinct(), "met"))
+    wanted = write_table(classes.join(met, "cls", "left_semi").select("cls", "doc_id", "digest"), "wanted")
+    release(classes)
+    twice = _sets(docs, wanted.drop("cls"), id_col, text_col)
+    sets = write_table(twice.dropDuplicates(["cls"]), "sets")
+    release(twice)
     signs = write_table(rows.select("cls", "sketch").join(broadcast_if_small(wanted).select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "signs")
 
     first = members.filter(F.col("at") < FIRST_BANDS).withColumn("label", F.col("cls"))
@@ -346,12 +408,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = write_table(_confirmed(write_table(pairs, "pairs"), sets, percent), "links")
     labels = connected_components(links)
 
-    known = write_table(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "known")
-    mixed = write_table(known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("group_rows")).filter("lo <> hi").select("band", "group_rows"), "mixed")
-    left = join_groups(known.drop("group_rows"), mixed, ["band"], "group_rows", n_keys)
-    more = _candidates(_blocks(left.join(signs, "cls")), threshold, False)
+    known = write_table(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", "n", "at", F.coalesce("label", "cls").alias("label")), "known")
+    blocks = _blocks(known, sets, n_keys)
+    more = _candidates(blocks.join(signs, "cls"), threshold, False)
     more = write_table(_confirmed(write_table(more, "pairs"), sets, percent), "links")
     labels = connected_components(links.unionByName(more), labels)
+    release(members, wanted, sets, signs, known)
 
     per_class = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     named = per_class.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -366,6 +428,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each component only, columns unchanged.  A row is judged by its id and text together."""
-    verdicts = write_table(near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__drop"), F.col("digest").alias("__text")).distinct(), "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("__drop")) & (text_digest(F.col(text_col)) == F.col("__text"))
-    return docs.join(broadcast_if_small(verdicts), same, "left_anti").select(docs.columns)
+    drop, text = own_names(docs.columns, "drop", "text")
+    verdicts = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(drop), F.col("digest").alias(text)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(drop)) & (text_digest(F.col(text_col)) == F.col(text))
+    return docs.join(broadcast_if_small(write_table(verdicts, "dropped")), same, "left_anti").select(docs.columns)
