@@ -3,10 +3,12 @@
 The posterior of a language is the product of four sources of evidence:
 
 * the text: likelihoods of word-bounded character trigrams, fitted on a sample of labelled documents;
-* the language that the markup declares, right with a fitted probability;
-* the suffix of the address, counted among records with declared languages;
-* the host: a prior smoothed towards its suffix and that towards all records, each level counted by a
-  grouped aggregation over every record.
+* the language that the markup declares, right with a probability fitted on the records whose text has at
+  least CLEAR_WORDS words: how often the declaration names the likeliest language of the text;
+* the suffix of the address and the host: a prior smoothed from host to suffix to all records, each level
+  counted by a grouped aggregation over every record.  A record votes for the language it declares, else
+  for the likeliest by its text; its own vote is taken out of every count before it is judged, so that no
+  evidence counts twice.
 
 A record is rejected when its text has no word of letters, so that nothing speaks for a language, when
 the best language's posterior is under ACCEPT, or when the text resembles no fitted language: its mean
@@ -32,19 +34,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import Memo
-from .shared import broadcast_if_small, join_groups, null_safe_key, ready_workers, text_digest, write_table
+from .shared import broadcast_if_small, join_groups, null_safe_key, own_names, ready_workers, text_digest, write_table
 
-#: Documents of each language that the likelihoods are fitted on, at most, and the languages at most.
+#: Labelled documents that the likelihoods are fitted on: of each language, and of all languages together (one of each language at least).
 SAMPLE_ROWS = 300
-MOST_LANGUAGES = 64
-#: Trigrams kept for each language; the others share what smoothing leaves.
-MOST_TRIGRAMS = 20_000
+SAMPLE_ALL = 30_000
+#: Labelled documents with more characters than this are fitted on only where shorter ones do not suffice.
+SAMPLE_CHARS = 20_000
 #: Records that a level's counts are worth against the level below: host to suffix, suffix to all.
 HOST_STRENGTH, SUFFIX_STRENGTH = 20.0, 50.0
-#: How often a declaration is right.
-DECLARED_RIGHT = 0.9
+#: Words of a text that is clear about its language, and what is believed of declarations at first: how often they are right, for how many records.
+CLEAR_WORDS = 20
+DECLARED_RIGHT, DECLARED_STRENGTH = 0.9, 20.0
 #: Words beyond this many add no further certainty.
 TEXT_WEIGHT_WORDS = 200.0
 ACCEPT = 0.5
@@ -73,8 +77,7 @@ class TextModel:
         tables = []
         for language in self.languages:
             counts = counts_of[language]
-            best = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_TRIGRAMS])
-            tables.append((best, sum(counts.values())))
+            tables.append((dict(counts), sum(counts.values())))
         known = {t for best, _ in tables for t in best}
         size = len(known) + 1
         self.table = {t: np.array([math.log((best.get(t, 0) + 0.5) / (total + 0.5 * size)) for best, total in tables]) for t in known}
@@ -138,23 +141,20 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, language_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> TextModel:
-    """Fits on at most SAMPLE_ROWS labelled documents, one for each id, of each of at most MOST_LANGUAGES languages."""
-    labelled = docs.filter(F.col(language_col).isNotNull() & F.col(text_col).isNotNull())
-    bits = labelled.select(F.col(language_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"), F.col(id_col).alias("id"))
-    counts = bits.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    chosen = None
-    for row in counts:
-        some = bits.filter(F.col("lang") == row["lang"]).distinct().orderBy("hash", "id").limit(SAMPLE_ROWS)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    """Fits on at most SAMPLE_ROWS labelled documents, one for each id, of every language, SAMPLE_ALL in all."""
+    labelled = docs.filter(F.col(language_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(language_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n_languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_ALL // max(1, n_languages)))
+    least = Window.partitionBy("lang").orderBy("long", "hash", F.col("id").asc_nulls_last())
+    keys = labelled.groupBy("lang", "id").agg((F.min(F.length("text")) > SAMPLE_CHARS).alias("long")).withColumn("hash", F.xxhash64("id"))
+    chosen = keys.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= each).select(F.col("lang").alias("chosen_lang"), F.col("id").alias("chosen"))
+    texts = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("chosen_lang")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     counts_of: dict[str, Counter] = {}
     texts_of: dict[str, list[Counter]] = {}
-    if chosen is not None:
-        texts = labelled.select(F.col(language_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        picked = texts.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).orderBy("lang", "id")
-        for row in picked.toLocalIterator():
-            trigrams = TextModel.trigrams(row["text"])
-            counts_of.setdefault(row["lang"], Counter()).update(trigrams)
-            texts_of.setdefault(row["lang"], []).append(trigrams)
+    for row in texts.groupBy("lang", "id").agg(F.min(F.struct(F.length("text"), "text"))["text"].alias("text")).orderBy("lang", "id").toLocalIterator():
+        trigrams = TextModel.trigrams(row["text"])
+        counts_of.setdefault(row["lang"], Counter()).update(trigrams)
+        texts_of.setdefault(row["lang"], []).append(trigrams)
     return TextModel(counts_of or {"und": Counter()}, texts_of)
 
 
@@ -193,41 +193,47 @@ def text_evidence(records: DataFrame, model: TextModel, carry: list[str], is_pag
 
 
 def fuse(evidence: DataFrame, languages: list[str], carry: list[str]) -> DataFrame:
-    """carry columns, lang, posterior, n_words, accepted.
+    """carry columns, lang, posterior, n_words, declared, host, accepted.
 
-    evidence has carry, n_words, loglik, declared, suffix, host and may have known.  Votes for the priors are the declared
-    language or, without one, the likeliest by the text.
+    evidence, a written table, has carry, n_words, loglik, declared, suffix, host and may have known.
     """
-    best = F.array_max("loglik")
-    certain = F.filter(F.arrays_zip(F.array(*map(F.lit, languages)).alias("l"), F.col("loglik").alias("v")), lambda z: z["v"] == best)
-    vote = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("n_words") > 0, certain[0]["l"])
-    rows = evidence.withColumn("vote", vote)
-    ones = [F.sum((F.col("vote") == lang).cast("double")).alias(f"c{k}") for k, lang in enumerate(languages)]
-    filled = lambda df: df.fillna(0.0, [f"c{k}" for k in range(len(languages))])
-    hosts = filled(rows.groupBy("suffix", "host").agg(F.count(F.lit(1)).alias("host_rows"), *ones))
-    hosts = write_table(hosts, "hosts")
-    again = [F.sum(f"c{k}").alias(f"s{k}") for k in range(len(languages))]
-    suffixes = write_table(hosts.groupBy("suffix").agg(F.count(F.lit(1)).alias("suffix_hosts"), *again), "suffixes")
-    whole = suffixes.agg(*(F.sum(f"s{k}").alias(f"g{k}") for k in range(len(languages)))).fillna(0.0).collect()[0]
-    total = sum(whole) + len(languages)
-    overall = [(x + 1) / total for x in whole]
-    joined = join_groups(hosts, suffixes, ["suffix"], "suffix_hosts", hosts.count())
-    n_suffix = sum((F.col(f"s{k}") for k in range(1, len(languages))), F.col("s0"))
-    n_host = sum((F.col(f"c{k}") for k in range(1, len(languages))), F.col("c0"))
-    of_suffix = [(F.col(f"s{k}") + SUFFIX_STRENGTH * p) / (n_suffix + SUFFIX_STRENGTH) for k, p in enumerate(overall)]
-    named = F.col("host") != ""
-    of_host = [F.when(named, (F.col(f"c{k}") + HOST_STRENGTH * q) / (n_host + HOST_STRENGTH)).otherwise(F.lit(p)) for k, (q, p) in enumerate(zip(of_suffix, overall))]
-    priors = write_table(joined.select("host", "suffix", "host_rows", F.array(*(F.ln(x) for x in of_host)).alias("prior")), "priors")
     n = len(languages)
-    right, wrong = math.log(DECLARED_RIGHT), math.log((1 - DECLARED_RIGHT) / max(1, n - 1))
-    full = join_groups(rows, priors, ["suffix", "host"], "host_rows", int(evidence.count()))
-    said = [F.when(F.col("declared").isin(languages), F.when(F.col("declared") == lang, right).otherwise(wrong)).otherwise(0.0) for lang in languages]
-    scores = F.array(*(F.col("loglik")[k] + F.col("prior")[k] + said[k] for k in range(n)))
+    best = F.array_max("loglik")
+    by_text = F.element_at(F.array(*map(F.lit, languages)), F.array_position("loglik", best).cast("int"))
+    said = F.col("declared").isin(languages)
+    vote = F.when(said, F.col("declared")).when(F.col("n_words") > 0, by_text)
+    place = F.md5(F.concat_ws("\n", "suffix", "host"))  # keys of fixed width
+    rows = evidence.withColumns({"vote": vote, "place": place, "area": F.md5("suffix")})
+    clear = said & (F.col("n_words") >= CLEAR_WORDS)
+    ones = [F.count_if(F.col("vote") == lang).alias(f"c{k}") for k, lang in enumerate(languages)]
+    hosts = write_table(rows.groupBy("area", "place").agg(F.count(F.lit(1)).alias("host_rows"), F.count_if(clear).alias("clear"), F.count_if(clear & (F.col("declared") == by_text)).alias("right"), *ones), "hosts")
+    again = [F.sum(f"c{k}").alias(f"s{k}") for k in range(n)]
+    suffixes = write_table(hosts.groupBy("area").agg(F.count(F.lit(1)).alias("suffix_hosts"), F.sum("host_rows").alias("suffix_rows"), F.sum("clear").alias("clear"), F.sum("right").alias("right"), *again), "suffixes")
+    whole = suffixes.agg(F.sum("suffix_rows").alias("rows"), F.sum("clear").alias("clear"), F.sum("right").alias("right"), *(F.sum(f"s{k}").alias(f"g{k}") for k in range(n))).first()
+    everywhere = [whole[f"g{k}"] or 0 for k in range(n)]
+    declared_right = ((whole["right"] or 0) + DECLARED_STRENGTH * DECLARED_RIGHT) / ((whole["clear"] or 0) + DECLARED_STRENGTH)
+    slim = suffixes.select("area", "suffix_hosts", F.array(*(f"s{k}" for k in range(n))).alias("of_suffix"))
+    levels = join_groups(hosts, slim, ["area"], "suffix_hosts", hosts.count()).select("place", "host_rows", F.array(*(f"c{k}" for k in range(n))).alias("of_host"), "of_suffix")
+    full = join_groups(rows, write_table(levels, "levels"), ["place"], "host_rows", int(whole["rows"] or 0))
+    own = [(F.col("vote").eqNullSafe(F.lit(lang))).cast("double") for lang in languages]
+    voted = F.col("vote").isNotNull().cast("double")
+    overall = [(everywhere[k] - own[k] + 1) / (sum(everywhere) - voted + n) for k in range(n)]
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - voted
+    full = full.withColumns({"__all": F.array(*overall), "__n_suffix": total("of_suffix"), "__n_host": total("of_host")})
+    of_suffix = [(F.col("of_suffix")[k] - own[k] + SUFFIX_STRENGTH * F.col("__all")[k]) / (F.col("__n_suffix") + SUFFIX_STRENGTH) for k in range(n)]
+    full = full.withColumn("__suffix", F.array(*of_suffix))
+    of_host = [(F.col("of_host")[k] - own[k] + HOST_STRENGTH * F.col("__suffix")[k]) / (F.col("__n_host") + HOST_STRENGTH) for k in range(n)]
+    prior = F.when(F.col("host") != "", F.array(*of_host)).otherwise(F.col("__all"))
+    right, wrong = math.log(declared_right), math.log((1 - declared_right) / max(1, n - 1))
+    of_markup = [F.when(said, F.when(F.col("declared") == lang, right).otherwise(wrong)).otherwise(0.0) for lang in languages]
+    full = full.withColumn("__prior", prior)
+    scores = F.array(*(F.col("loglik")[k] + F.ln(F.col("__prior")[k]) + of_markup[k] for k in range(n)))
     out = full.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
     weight = F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
-    place = F.array_position("scores", F.col("top")).cast("int")
+    at = F.array_position("scores", F.col("top")).cast("int")
     known = F.col("known") if "known" in evidence.columns else F.lit(True)
-    return out.select(*carry, F.element_at(F.array(*map(F.lit, languages)), place).alias("lang"), (1.0 / weight).alias("posterior"), "n_words", "declared", "host", known.alias("__known")).withColumn("accepted", (F.col("n_words") > 0) & F.col("__known") & (F.col("posterior") >= ACCEPT)).drop("__known")
+    accepted = (F.col("n_words") > 0) & known & (1.0 / weight >= ACCEPT)
+    return out.select(*carry, F.element_at(F.array(*map(F.lit, languages)), at).alias("lang"), (1.0 / weight).alias("posterior"), "n_words", "declared", "host", accepted.alias("accepted"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,6 +259,7 @@ def identify_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id"
 def accepted_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs without those that identification rejects, columns unchanged.  A row is judged by its id, source and text together."""
     verdicts = _judged_documents(docs, model, id_col, text_col, source_col, {"digest": text_digest(F.col(text_col))})
-    rejected = verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias("__drop"), F.col("host").alias("__host"), F.col("digest").alias("__text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__drop")) & (null_safe_key(F.col(source_col)) == F.col("__host")) & (text_digest(F.col(text_col)) == F.col("__text"))
+    drop, source, text = own_names(docs.columns, "drop", "source", "text")
+    rejected = verdicts.filter(~F.col("accepted")).select(F.col("doc_id").alias(drop), F.col("host").alias(source), F.col("digest").alias(text)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(drop)) & (null_safe_key(F.col(source_col)) == F.col(source)) & (text_digest(F.col(text_col)) == F.col(text))
     return docs.join(broadcast_if_small(write_table(rejected, "rejected")), same, "left_anti").select(docs.columns)
