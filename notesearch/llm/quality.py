@@ -89,32 +89,38 @@ class Model:
         self.p = {"E": draw(N_FEATURES, HIDDEN), "e": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "c": draw(HIDDEN), "b": np.zeros(1)}
         self.mean, self.scale, self.constant = np.zeros(N_FEATURES), np.ones(N_FEATURES), None
 
-    def forward(self, bag: np.ndarray):
+    def forward(self, rows: np.ndarray, starts: np.ndarray):
+        """All bags at once: rows holds their passages one bag after the other, starts the place of each bag's first."""
         p = self.p
-        x = np.clip((bag - self.mean) / self.scale, -8, 8)
+        x = np.clip((rows - self.mean) / self.scale, -8, 8)
         h = np.tanh(x @ p["E"] + p["e"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         s = (t * g) @ p["w"]
-        a = np.exp(s - s.max())
-        a /= a.sum()
-        z = a @ h
+        sizes = np.diff(np.append(starts, len(rows)))
+        a = np.exp(s - np.repeat(np.maximum.reduceat(s, starts), sizes))
+        a /= np.repeat(np.add.reduceat(a, starts), sizes)
+        z = np.add.reduceat(a[:, None] * h, starts)
         y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"][0], -30, 30)))
-        return x, h, t, g, a, z, y
+        return x, h, t, g, a, z, y, sizes
 
-    def score(self, bag: np.ndarray) -> float:
-        return float(self.constant) if self.constant is not None else float(self.forward(bag)[-1])
+    def scores(self, bags: list[np.ndarray]) -> np.ndarray:
+        if self.constant is not None or not bags:
+            return np.full(len(bags), float(self.constant or 0.0))
+        return self.forward(np.concatenate(bags), _starts(bags))[6]
 
-    def _gradients(self, bag: np.ndarray, label: int) -> dict:
+    def gradients(self, rows: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict:
+        """Of the sum of the bags' log losses."""
         p = self.p
-        x, h, t, g, a, z, y = self.forward(bag)
-        d = y - label
-        dz = d * p["c"]
-        da = h @ dz
-        ds = a * (da - a @ da)
-        dt, dg = np.outer(ds, p["w"]) * g * (1 - t * t), np.outer(ds, p["w"]) * t * g * (1 - g)
-        dh = np.outer(a, dz) + dt @ p["V"].T + dg @ p["U"].T
+        x, h, t, g, a, z, y, sizes = self.forward(rows, starts)
+        d = y - labels
+        dz = np.repeat(d[:, None] * p["c"], sizes, axis=0)
+        da = (h * dz).sum(1)
+        ds = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
+        outer = ds[:, None] * p["w"]
+        dt, dg = outer * g * (1 - t * t), outer * t * g * (1 - g)
+        dh = a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
         dx = dh * (1 - h * h)
-        return {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": d * z, "b": np.array([d])}
+        return {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": d @ z, "b": np.array([d.sum()])}
 
     def fit(self, bags: list[np.ndarray], labels: list[int], seed: int = 11) -> "Model":
         if len(set(labels)) < 2:
@@ -122,26 +128,26 @@ class Model:
             return self
         stacked = np.concatenate(bags)
         self.mean, self.scale = stacked.mean(0).astype(np.float64), stacked.std(0).astype(np.float64) + 1e-3
-        rng, first, second, step = np.random.default_rng(seed), {}, {}, 0
-        rounds = max(4, min(ROUNDS, 120_000 // len(bags)))
-        for number in range(rounds):
-            rate = 0.01 * (1 - number / rounds) + 0.0005
+        rng, first, second, step, of = np.random.default_rng(seed), {}, {}, 0, np.array(labels, np.float64)
+        for number in range(ROUNDS):
+            rate = 0.01 * (1 - number / ROUNDS) + 0.0005
             order = rng.permutation(len(bags))
             for start in range(0, len(order), BATCH):
                 some = order[start : start + BATCH]
-                total = {k: 1e-4 * len(some) * v for k, v in self.p.items()}
-                for i in some:
-                    for k, v in self._gradients(bags[i], labels[i]).items():
-                        total[k] = total[k] + v
+                chosen = [bags[i] for i in some]
                 step += 1
-                for k, v in total.items():
-                    v = v / len(some)
+                for k, v in self.gradients(np.concatenate(chosen), _starts(chosen), of[some]).items():
+                    v = v / len(some) + 1e-4 * self.p[k]
                     first[k] = 0.9 * first.get(k, 0) + 0.1 * v
                     second[k] = 0.999 * second.get(k, 0) + 0.001 * v * v
                     self.p[k] = self.p[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
+def _starts(bags: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *(len(b) for b in bags[:-1])])
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all ids whose labels no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -156,7 +162,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = texts.groupBy("__id").agg(F.min(F.struct("__text", "__label")).alias("__row")).select("__id", "__row.*")
     got, size = [], 0
     for row in texts.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS).toLocalIterator():
-        size += len(row["__text"])
+        size += len(row["__text"].encode())
         if got and size > SAMPLE_BYTES:
             break
         got.append((row["__text"], row["__label"]))
@@ -178,7 +184,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     def run(batches):
         model = sent.value
         for batch in batches:
-            scores = [model.score(passages(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32())})
+            scores = model.scores([passages(t) for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= threshold).astype(np.int32), pa.int32())})
 
     return rows.mapInArrow(run, schema)

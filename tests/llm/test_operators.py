@@ -179,14 +179,16 @@ def test_quality_learns_and_scores(spark):
     assert np.mean([got[k].predicted == int(k % 3 != 0) for k in held]) > 0.95
     assert got[900].score == got[None].score and 0 <= got[900].score <= 1 and got[None].held_out is False
     sample = quality.training_sample(docs, labels, "doc_id", "text", "quality")
-    assert len(sample) == 500 - len(held) and quality.fit(docs.limit(0), labels.limit(0)).score(quality.passages("x")) == 0.5
+    assert len(sample) == 500 - len(held) and quality.fit(docs.limit(0), labels.limit(0)).scores([quality.passages("x")]).tolist() == [0.5]
 
 
 def test_quality_gradients_are_right():
     rng = np.random.default_rng(3)
-    model, bag = quality.Model(), rng.standard_normal((5, quality.N_FEATURES))
-    loss = lambda: -math.log(model.forward(bag)[-1])
-    grads = model._gradients(bag, 1)
+    model, rows, starts, labels = quality.Model(), rng.standard_normal((9, quality.N_FEATURES)), np.array([0, 5, 6]), np.array([1, 0, 1])
+    loss = lambda: -sum(math.log(y if label else 1 - y) for y, label in zip(model.forward(rows, starts)[6], labels))
+    grads = model.gradients(rows, starts, labels)
+    alone = [model.scores([rows[a:b]])[0] for a, b in ((0, 5), (5, 6), (6, 9))]
+    assert model.scores([rows[:5], rows[5:6], rows[6:]]) == pytest.approx(alone)
     for name, value in model.p.items():
         at = tuple(rng.integers(0, n) for n in value.shape)
         value[at] += 1e-5
@@ -226,15 +228,45 @@ def test_language_of_pages_and_documents(spark, monkeypatch, broadcast_bytes):
 def test_posteriors_equal_a_hand_computation(spark):
     evidence = spark.createDataFrame([(1, 1, [math.log(0.6), math.log(0.4)], "", "s", "h"), (2, 1, [math.log(0.1), math.log(0.9)], "a", "s", "h")], "id int, n_words long, loglik array<double>, declared string, suffix string, host string")
     got = {r.id: r for r in language.fuse(evidence, ["a", "b"], ["id"]).collect()}
-    overall = (3 / 4, 1 / 4)  # both rows vote for a: one by text, one by declaration
-    suffix = [(c + 50 * p) / 52 for c, p in zip((2, 0), overall)]
-    host = [(c + 20 * q) / 22 for c, q in zip((2, 0), suffix)]
+    overall = (2 / 3, 1 / 3)  # both rows vote for a, one by text, one by declaration; neither counts for itself
+    suffix = [(c + 50 * p) / 51 for c, p in zip((1, 0), overall)]
+    host = [(c + 20 * q) / 21 for c, q in zip((1, 0), suffix)]
     one = host[0] * 0.6, host[1] * 0.4
     two = host[0] * 0.1 * 0.9, host[1] * 0.9 * 0.1
     assert got[1].lang == "a" and got[1].posterior == pytest.approx(one[0] / sum(one))
     assert got[2].lang == "a" and got[2].posterior == pytest.approx(two[0] / sum(two))
 
 
+def fused(rows, languages):
+    """Posteriors by counting the votes of all other rows for each row anew."""
+    best = lambda r: languages[max(range(len(languages)), key=lambda k: (r[2][k], -k))]
+    vote = [r[3] if r[3] in languages else best(r) if r[1] else None for r in rows]
+    clear = [r for r in rows if r[3] in languages and r[1] >= language.CLEAR_WORDS]
+    p = (sum(r[3] == best(r) for r in clear) + 20 * 0.9) / (len(clear) + 20)
+    out = {}
+    for i, r in enumerate(rows):
+        others = [(v, q) for j, (v, q) in enumerate(zip(vote, rows)) if j != i and v is not None]
+        share = lambda some, below, weight: {x: (sum(v == x for v, _ in some) + weight * below[x]) / (len(some) + weight) for x in languages}
+        overall = {x: (sum(v == x for v, _ in others) + 1) / (len(others) + len(languages)) for x in languages}
+        suffix = share([o for o in others if o[1][4] == r[4]], overall, 50)
+        host = share([o for o in others if o[1][4:6] == r[4:6]], suffix, 20)
+        prior = host if r[5] else overall
+        score = [prior[x] * math.exp(r[2][k]) * (1 if r[3] not in languages else p if r[3] == x else (1 - p) / (len(languages) - 1)) for k, x in enumerate(languages)]
+        out[r[0]] = max(score) / sum(score), languages[max(range(len(languages)), key=lambda k: (score[k], -k))]
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 32 << 20])
+def test_fusion_equals_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast_bytes)
+    rng, languages = random.Random(3), ["a", "b", "c"]
+    hosts = [("x", "h.x"), ("x", "g.x"), ("y", "h.y"), ("", "")]
+    rows = [(k, rng.choice([0, 3, 30]), [math.log(rng.random() + 0.01) for _ in languages], rng.choice(["", "a", "b", "zz"]), *(hosts[0] if k % 3 else rng.choice(hosts))) for k in range(120)]
+    got = language.fuse(spark.createDataFrame(rows, "id int, n_words long, loglik array<double>, declared string, suffix string, host string"), languages, ["id"]).collect()
+    expected = fused(rows, languages)
+    assert len(got) == 120 and all(r.lang == expected[r.id][1] and r.posterior == pytest.approx(expected[r.id][0]) for r in got)
+
+
 def test_running_totals_do_not_depend_on_buckets(spark):
     rows = spark.range(500).selectExpr("id", "id % 3 AS g", "xxhash64(id) AS h", "id % 7 AS v")
     results = []
@@ -291,3 +323,14 @@ def test_repeated_ids_displace_no_language(spark, monkeypatch):
     rows = [(1, f"{TEXT['de']} {k}", "de") for k in range(40)] + [(100 + k, TEXT[lang], lang) for k in range(8) for lang in TEXT]
     model = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en", "fr"]
+
+
+def test_quality_of_held_out_documents(spark):
+    """Area under the curve on the labels that no model saw."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter(quality.held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    scored = quality.score(docs.join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi"), quality.fit(docs, labels)).join(held, "doc_id").collect()
+    good, bad = (np.array([r.score for r in scored if r.quality == k]) for k in (1, 0))
+    assert len(bad) >= 20 and np.mean((good[:, None] > bad) + 0.5 * (good[:, None] == bad)) > 0.9
+    assert all(r.held_out for r in scored)
