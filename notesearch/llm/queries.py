@@ -19,7 +19,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_source_mixing(spark, folder):
-    return mixing.mix(_table(spark, folder, "documents"))
+    plan = mixing.mix(_table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source", "source_size", "target", "taken", "position", F.size("positions").alias("reads"))
 
 
 def op2_token_counts(spark, folder):
@@ -97,8 +98,50 @@ def queries():
     }
 
 
+def _moment_sql(part: str, rank: str) -> str:
+    """mixing.moment in SQL."""
+    number = lambda x: f"CAST({x!r} AS DOUBLE)"
+    of_rank = []
+    for k, schedule in enumerate(mixing.SCHEDULES):
+        cases = ""
+        for start, length, a, slope, done in reversed(mixing._segments(schedule)):
+            d = f"({part} - {number(done)})"
+            x = f"{number(start)} + least(2 * {d} / greatest({number(a)} + sqrt(greatest({number(a * a)} + {number(2 * slope)} * {d}, 0::DOUBLE)), 1e-12::DOUBLE), {number(length)})"
+            cases += f" WHEN {part} >= {number(done)} THEN {x}"
+        of_rank.append(f"WHEN ({rank} - 1) % {len(mixing.SCHEDULES)} = {k} THEN CASE{cases} END")
+    return f"CASE {' '.join(of_rank)} END"
+
+
+#: The steps of sharding.jump_hash in SQL, as a recursion over all keys.
+_JUMP = """
+            WITH RECURSIVE ids AS (SELECT DISTINCT doc_id FROM documents),
+            walk AS (SELECT doc_id, n, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, 0 AS step FROM ids, (VALUES (40), (41)) v(n)
+                UNION ALL SELECT doc_id, n, j, CAST(least(floor((j + 1) / ((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(10) || step), 1, 8))::BIGINT + 1)::DOUBLE / 4294967296::DOUBLE)), 1099511627776) AS BIGINT), step + 1 FROM walk WHERE j < n),
+            shards AS (SELECT doc_id, CAST(max(b) FILTER (n = 40) AS INTEGER) AS shard, CAST(max(b) FILTER (n = 41) AS INTEGER) AS grown_shard FROM walk GROUP BY doc_id),"""
+
+
 def oracle_sql():
     return {
+        "op1_source_mixing": rf"""
+            WITH t AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(10) || coalesce(source, '-') || chr(10) || coalesce(text, '-')), 1, 15))::BIGINT AS h FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM t GROUP BY source),
+            w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS weight, 2 * source_size::DOUBLE AS cap FROM s),
+            f AS (SELECT *, cap / weight AS fill, greatest(1.5::DOUBLE * sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+                / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+            l AS (SELECT level AS final FROM f WHERE fill > level ORDER BY fill, rank LIMIT 1),
+            g AS (SELECT source, source_size, rank, least(cap, coalesce(weight * (SELECT final FROM l), cap)) AS target FROM f),
+            p AS (SELECT t.*, source_size, rank, target, CAST(coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+            k AS (SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - before)) AS once, greatest(0, least(size, CAST(floor(target) AS BIGINT) - before - source_size)) AS again, before::DOUBLE / target AS part FROM p)
+            SELECT doc_id, size, source, source_size, target, once + again AS taken, CASE WHEN once > 0 THEN {_moment_sql("part", "rank")} END AS position, CAST((once > 0)::INTEGER + (again > 0)::INTEGER AS INTEGER) AS reads FROM k""",
+        "op9_sharding": _JUMP
+        + """
+            crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)),
+            t AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+            c AS (SELECT doc_id, size, xor(list_reduce(list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM t, crc)
+            SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+                row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(10) || text_crc32), 1, 15))::BIGINT, doc_id, size) - 1 AS slot
+            FROM c JOIN shards USING (doc_id)""",
         "op7_exact_dedup": r"""
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
             g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)

@@ -110,8 +110,15 @@ def bucket_bits(n_rows: int, least: int = 8, rows_per_bucket: int = 50_000) -> i
     return max(least, (max(1, n_rows) // rows_per_bucket).bit_length())
 
 
-def with_bucket(rows: DataFrame, hash_column: str, bits: int) -> DataFrame:
-    return rows.withColumn("__bucket", F.shiftrightunsigned(F.col(hash_column), 64 - bits))
+def order_hash(*columns: Column) -> Column:
+    """60 bits of MD5 over the columns joined by newlines, null as a minus sign: an order that other engines can compute."""
+    text = F.concat_ws("\n", *(F.coalesce(c.cast("string"), F.lit("-")) for c in columns))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def with_bucket(rows: DataFrame, hash_column: str, bits: int, width: int = 64) -> DataFrame:
+    """Adds ``__bucket``: the first bits of a hash of so many bits."""
+    return rows.withColumn("__bucket", F.shiftrightunsigned(F.col(hash_column), width - bits))
 
 
 def bucket_totals(rows: DataFrame, group: str, value: Column) -> DataFrame:

@@ -15,6 +15,7 @@ WORDS = "alpha beta gamma delta".split()
 def mix_docs(spark, n=600, seed=1):
     rng = random.Random(seed)
     rows = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))), rng.choice(["a", "a", "a", "b", "é", "", None]), 1.0) for k in range(n)]
+    rows += [(7, "alpha beta gamma", "é", 2.0)] * 40 + [(None, f"{w} beta", "é", 2.0) for w in WORDS] * 2
     rows += [(n, None, "a", 1.0), (n + 1, "", "z", 1.0), (3, "alpha", "b", 1.0), (3, "alpha", "b", 1.0), (None, "beta beta", None, 1.0)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, target double")
 
@@ -52,8 +53,38 @@ def test_mix_targets_and_takes(spark):
     assert all(abs(taken[s] - targets[s]) < 1 for s in sizes)
     first = [r.position for r in got if r.position is not None]
     assert first == sorted(first) and all(r.position is None for r in got[len(first) :])
-    again = {(r.doc_id, r["size"], r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
-    assert again == {(r.doc_id, r["size"], r.taken) for r in got}
+    report = lambda rows: sorted(((r.doc_id or -1, r.source or "", r["size"], r.taken, tuple(r.positions)) for r in rows))
+    assert report(mixing.mix(docs.repartition(7)).collect()) == report(got)
+    mine, hand = report(got), sorted(mixed_by_hand(rows))
+    assert [r[:4] for r in mine] == [r[:4] for r in hand]
+    assert all(a[4] == pytest.approx(b[4], abs=1e-6) for a, b in zip(mine, hand))
+
+
+def mixed_by_hand(rows):
+    """Each document's words and moments, from one walk along every source."""
+    key = lambda r: int(hashlib.md5("\n".join("-" if x is None else str(x) for x in (r[0], r[2], r[1])).encode()).hexdigest()[:15], 16)
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + len((r[1] or "").split())
+    targets, order = filled(sizes), sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    for source in order:
+        at, schedule = 0, mixing.SCHEDULES[order.index(source) % 3]
+        for r in sorted((r for r in rows if r[2] == source), key=lambda r: (key(r), r[0] if r[0] is not None else -1)):
+            size, taken, moments = len((r[1] or "").split()), 0, []
+            for k in range(2):
+                now = max(0, min(size, math.floor(targets[source]) - at - k * sizes[source]))
+                taken += now
+                if now:
+                    moments.append(moment_by_bisection((at + k * sizes[source]) / targets[source], schedule))
+            yield r[0] or -1, source or "", size, taken, tuple(moments)
+            at += size
+
+
+def moment_by_bisection(part, schedule):
+    grid = np.linspace(0, 1, 20001)
+    rate = np.interp(grid, [0, 0.5, 1], schedule)
+    done = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+    return float(np.interp(part, done / done[-1], grid))
 
 
 def test_mix_positions_follow_the_schedule(spark):
@@ -72,21 +103,22 @@ def test_mixed_documents_repeat_rows_and_keep_columns(spark):
     plan = mixing.plan_mix(docs).filter("taken > 0").collect()
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns
-    reads = sum(len(r.positions) for r in plan)
-    assert abs(got.count() - reads) <= 4  # rows equal in id, size and source share one plan row
+    reads = sorted(((p, r.doc_id or -1, r["size"], r.source or "") for r in plan for p in r.positions), key=lambda x: (x[0], x[1:]))
+    read = [(r.doc_id or -1, len((r.text or "").split()), r.source or "") for r in got.collect()]
+    assert sorted(read) == sorted(x[1:] for x in reads)
+    places = {p for p, *_ in reads}
+    assert len(places) < len(reads) or read == [x[1:] for x in reads]
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
-def xx_jump(spark, keys, shards):
-    """Jump hashing with the same random sequence, step by step."""
-    draws = {(r.k, r.i): r.u for r in spark.createDataFrame([(k, i) for k in keys for i in range(shards)], "k long, i int").withColumn("u", F.xxhash64("k", "i")).collect()}
+def jump_by_steps(keys, shards):
+    """Jump hashing step by step."""
     out = {}
     for key in keys:
-        b, j, i = -1, 0, 0
+        b, j, step = -1, 0, 0
         while j < shards:
-            b = j
-            j = math.floor((b + 1) / ((((draws[key, i] % 2**64) >> 33) + 1) / 2**31))
-            i += 1
+            u = (int(hashlib.md5(f"{key}\n{step}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+            b, j, step = j, math.floor((j + 1) / u), step + 1
         out[key] = b
     return out
 
@@ -96,7 +128,7 @@ def test_sharding(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     got = sharding.shard_rows(docs).collect()
     assert len(got) == len(rows)
-    expected, grown = xx_jump(spark, range(200), 40), xx_jump(spark, range(200), 41)
+    expected, grown = jump_by_steps(range(200), 40), jump_by_steps(range(200), 41)
     slots = {}
     for r in got:
         assert r.grown_shard in (r.shard, 40) and 0 <= r.shard < 40 and r.law == "key"
