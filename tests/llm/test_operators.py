@@ -183,9 +183,11 @@ def brute_top(vectors, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_top_k_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(vector_search, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("size", [8 << 20, 100])
+def test_top_k_is_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(vector_search, "QUERY_BYTES", size)
+    monkeypatch.setattr(vector_search, "SCORES_AT_ONCE", size)
+    monkeypatch.setattr(vector_search, "HELD", size // 10)
     rng = np.random.default_rng(8)
     rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(400)]
     rows += [(500 + k, rows[7][1]) for k in range(30)] + [(600, [0.0] * 8), (601, [1.0]), (700, None), (701, [float("nan")] * 8), (800, [float("inf")] * 8), (900, [None] * 8), (None, [1.0] * 8), (7, rows[7][1])]
@@ -197,6 +199,39 @@ def test_top_k_is_exact(spark, monkeypatch, block):
     assert vector_search.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [5.0, 1.0]), (1, [1e30, 1.0]), (2, [1e30, -1.0]), (3, [-1e30, 0.0]), (4, [3e38, 3e38]), (5, [-3e38, 2.0]), (6, [0.0, 7.0]), (100, [1e30, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(table, table.filter("vec_id % 100 = 0"), 10).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in (0, 100):
+        scores = {i: sum(a * b for a, b in zip(whole[q], w)) for i, w in whole.items() if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, min(max(scores[i], -(2**63)), 2**63 - 1)) for i in order]
+    rng = np.random.default_rng(9)  # all far under the least long
+    rows = [(k, [float(-x) for x in 10 ** rng.uniform(15, 18, 4)]) for k in range(1, 400)] + [(1000, [1e18, 1e17, 1e16, 1e18])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in vector_search.top_k(table, table.filter("vec_id = 1000"), 10).collect())
+    scores = {i: sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(v, rows[-1][1])) for i, v in rows[:-1]}
+    assert [i for _, i in got] == sorted(scores, key=lambda i: (-scores[i], i))[:10]
+    numbers = [-(10**620), -(2**63) - 1, -(2**63), -1, 0, 5, 2**63 - 1, 2**63, 10**620]
+    assert sorted(numbers, key=vector_search.order_key) == numbers
+
+
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 32))
+    common = [float(x) for x in centres[0]]
+    rows = [(k, [float(x) for x in centres[k % 40] + 0.3 * rng.standard_normal(32)]) for k in range(6000)] + [(6000 + k, common) for k in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read, exact = [], vector_search._exact
+    monkeypatch.setattr(vector_search, "_exact", lambda pairs, entries, asked: read.append(pairs.count()) or exact(pairs, entries, asked))
+    got = sorted(tuple(r) for r in vector_search.top_k(table, table.filter("vec_id % 100 = 0"), 10).collect())
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows]
+    assert got == brute_top(good, {i: v for i, v in good if i % 100 == 0}, 10)
+    assert sum(read) < 0.01 * 61 * 6001
+
+
 def test_quality_learns_and_scores(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "river", "was", "calm", "and", "bright", "over", "hills", "people", "walked"]) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(60, 300)))
