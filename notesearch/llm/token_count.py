@@ -5,10 +5,13 @@ word symbols.  A state is what the rest of a word can depend on: the longest suf
 still extend, the last token of each prefix within it, and the token counts of those prefixes
 relative to the oldest.  Each transition is annotated with the tokens it emits.
 
-A text is read in chunks.  White space resets the transducer, so the map of a chunk is short: the
-part before its first reset, which depends on the state at entry; the tokens between; and the part
-after its last reset, which is the state at exit.  The maps compose associatively, and a tree of
-compositions (a parallel prefix scan whose last element is wanted) gives the count of the text.
+A text is read in chunks.  Borders lie where the text rules cannot see across: at white space, beside
+digits, or inside a run of letters or marks.  In the last case the piece goes on in the next chunk, and
+so does the state: the chunk is a map from the state at entry to the state at exit and the tokens
+emitted.  The map is computed without the chunks before, for every state that the few symbols before the
+border can lead to from any of their places; a state that is not among them follows its own path until
+that meets one already known.  Maps compose associatively, in a tree (a parallel prefix scan whose last
+element is wanted).  Texts of more than LONG_BYTES are dealt to tasks chunk by chunk; only their maps meet.
 
 Defined results.  Null and empty texts count 0.  Other columns play no part; equal rows give equal
 results; an empty table gives an empty result.
@@ -17,6 +20,10 @@ results; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import pickle
+import re
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +32,101 @@ from pyspark.sql import functions as F
 from .bpe import LAST, Memo, Vocabulary
 from .shared import ready_workers
 
-#: Bytes of a chunk, and the states kept before compilation starts afresh.
-CHUNK_BYTES = 1 << 16
+#: Characters of a chunk, in place and of texts dealt to tasks; bytes of a text that is dealt.
+CHUNK, LONG_CHUNK, LONG_BYTES = 1 << 16, 1 << 20, 4 << 20
+#: The states kept before compilation starts afresh.
 MOST_STATES = 200_000
-SPACES = b" \t\n\r\x0b\x0c"
+#: Symbols before a border that live states follow from, and the places among them to start at.
+BEFORE, STARTS = 48, 32
+#: Steps of a chunk's known paths that another path is compared with.
+TRACE = 512
 
-#: (whether a reset occurs, part before the first reset, tokens between, part after the last reset)
-Map = tuple[bool, bytes, int, bytes]
+#: Marks inside a run of which a chunk may end: none that begins a contraction or stands in an added token.
+_MARKS = re.escape('!"#$%&()*+,-./:;=?@[]^_`{}~')
+_INSIDE = rf"(?<=[A-Za-z]{{3}})(?=[A-Za-z])|(?<=[\u4e00-\u9fff])(?=[\u4e00-\u9fff])|(?<=[{_MARKS}])(?=[{_MARKS}])"
+_APART = r"(?<=[ \t\n\r\x0b\x0c])|(?=[ \t\n\r\x0b\x0c])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+_border = re.compile(f"(?P<apart>{_APART})|{_INSIDE}")
+_run_before = re.compile(rf"(?:[A-Za-z]+|[\u4e00-\u9fff]+|[{_MARKS}]+)\Z")
+
+#: A state by its content: what a word's rest depends on.  Numbers of states hold within one transducer only.
+State = tuple[str, tuple[int, ...], tuple[int, ...]]
+FIRST: State = ("", (-1,), (0,))
+
+
+def borders(text: str, size: int, added: list[str]) -> list[tuple[int, bool]]:
+    """(place, whether a piece goes on there) of the ends of chunks of about size characters, the end of the text left out."""
+    out, at = [], size
+    reach = max(map(len, added), default=1)
+    while at < len(text):
+        found = _border.search(text, at)
+        if found is None or found.start() >= len(text):
+            break
+        at = found.start()
+        inside = [k + len(t) for t in added for k in [text.find(t, max(0, at - reach), at + reach)] if 0 <= k < at < k + len(t)]
+        if inside:
+            at = max(inside)
+            continue
+        out.append((at, found.group("apart") is None))
+        at += size
+    return out
+
+
+class ChunkMap:
+    """What a chunk does to the state at entry: (state at exit, tokens emitted).
+
+    head is the symbols of the piece that the chunk goes on with, None if it begins with a piece of its own;
+    ends tells whether that piece ends in the chunk, rest and exit what follows it.
+    """
+
+    def __init__(self, machine: "Transducer", head: str | None, ends: bool, rest: int, exit_: State, live: list[State]):
+        self.machine, self.head, self.ends, self.rest, self.exit = machine, head, ends, rest, exit_
+        self.known: dict[State, tuple[State, int]] = {}
+        self.traces: list[tuple[list[State], list[int], State, int]] = []
+        for state in live if head is not None else ():
+            self(state)
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        if self.head is None:
+            return self.exit, self.rest
+        found = self.known.get(state)
+        if found is None:
+            out, count = self._follow(state)
+            found = self.known[state] = (self.exit, count + self.rest) if self.ends else (out, count)
+        return found
+
+    def _follow(self, state: State) -> tuple[State, int]:
+        states, counts, total = [], [], 0
+        first = state
+        steps = min(TRACE, len(self.head) - 1)
+        for k in range(steps):
+            for known_states, known_counts, out, whole in self.traces:
+                if known_states[k] == first:
+                    return out, total + whole - known_counts[k]
+            states.append(first)
+            counts.append(total)
+            first, n = self.machine.run(first, self.head[k : k + 1])
+            total += n
+        out, n = self.machine.run(first, self.head[steps:], self.ends)
+        self.traces.append((states, counts, out, total + n))
+        return out, total + n
+
+
+def composed(a, b):
+    """The map of two neighbouring chunks."""
+
+    def both(state: State) -> tuple[State, int]:
+        between, n = a(state)
+        out, m = b(between)
+        return out, n + m
+
+    return both
+
+
+def scan(maps: list) -> int:
+    """Tokens of the chunks one after the other, from a tree of compositions."""
+    while len(maps) > 1:
+        maps = [composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+    return maps[0](FIRST)[1] if maps else 0
 
 
 class Transducer:
@@ -40,13 +135,14 @@ class Transducer:
         self.tokens = {s: i for i, s in vocabulary.symbols.items() if s}
         self.stems = {s[:k] for s in self.tokens for k in range(len(s) + 1)}
         self.memo = Memo(self._word)
+        self.steps = 0
         self._start()
 
     def _start(self) -> None:
         self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []
+        self.states: list[State] = []
         self.moves: list[dict[str, tuple[int, int]]] = []
-        self.first = self._state("", (-1,), (0,))
+        self.first = self._state(*FIRST)
 
     def _state(self, suffix: str, last: tuple[int, ...], counts: tuple[int, ...]) -> int:
         key = (suffix, last, counts)
@@ -77,50 +173,71 @@ class Transducer:
         self.moves[state][symbol] = move
         return move
 
-    def piece(self, piece: str) -> int:
-        """Runs the transducer over one piece: the sum of what its transitions emit."""
+    def run(self, state: State, symbols: str, ends: bool = False) -> tuple[State, int]:
+        """The state after symbols and the sum of what their transitions emit; ends: the last symbol ends its piece."""
         if len(self.states) > MOST_STATES:
             self._start()
-        symbols = self.vocabulary.symbols_in(piece)
-        state, total, moves = self.first, 0, self.moves
-        for symbol in symbols[:-1]:
-            move = moves[state].get(symbol) or self._compile(state, symbol)
-            state, total = move[0], total + move[1]
-        end = moves[state].get(symbols[-1])
-        if end is None:
-            end = moves[state][symbols[-1]] = (self.first, self._last_token(state, symbols[-1])[1])
-        return total + end[1]
+        self.steps += len(symbols)
+        at, total, moves = self._state(*state), 0, self.moves
+        for symbol in symbols[:-1] if ends else symbols:
+            move = moves[at].get(symbol) or self._compile(at, symbol)
+            at, total = move[0], total + move[1]
+        if ends:
+            end = moves[at].get(symbols[-1])
+            if end is None:
+                end = moves[at][symbols[-1]] = (self.first, self._last_token(at, symbols[-1])[1])
+            at, total = self.first, total + end[1]
+        return self.states[at], total
+
+    def piece(self, piece: str) -> int:
+        return self.run(FIRST, self.vocabulary.symbols_in(piece), True)[1]
 
     def _word(self, word: bytes) -> int:
         return sum(1 if piece is None else self.piece(piece) for _, piece in self.vocabulary.segments(word.decode()))
 
-    def chunk_map(self, chunk: bytes) -> Map:
-        words = chunk.split()
-        if not words:
-            return (bool(chunk), b"", 0, b"")
-        if len(words) == 1 and len(words[0]) == len(chunk):
-            return (False, chunk, 0, b"")
-        head = b"" if chunk[0] in SPACES else words.pop(0)
-        tail = b"" if chunk[-1] in SPACES or not words else words.pop()
-        memo = self.memo
-        return (True, head, sum([memo[w] for w in words]), tail)
-
-    def compose(self, a: Map, b: Map) -> Map:
-        if not a[0]:
-            return (b[0], a[1] + b[1], b[2], b[3])
-        if not b[0]:
-            return (True, a[1], a[2], a[3] + b[1])
-        border = a[3] + b[1]
-        return (True, a[1], a[2] + (self.memo[border] if border else 0) + b[2], b[3])
-
-    def count(self, text: bytes) -> int:
-        maps = [self.chunk_map(text[k : k + CHUNK_BYTES]) for k in range(0, len(text), CHUNK_BYTES)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        if not maps:
-            return 0
-        _, head, between, tail = maps[0]
-        return between + sum(self.memo[x] for x in (head, tail) if x)
+    def _open(self, piece: str) -> str:
+        """The symbols of a piece that goes on: none is in its word-end form."""
+        symbols = self.vocabulary.symbols_in(piece)
+        return symbols[:-1] + chr(ord(symbols[-1]) - LAST) if self.vocabulary.suffix else symbols
+
+    def live(self, before: str) -> list[State]:
+        """The states that the run of symbols at the end of before can lead to, from any of its last places."""
+        found = _run_before.search(before[-BEFORE:])
+        symbols = self._open(found.group().lower()) if found else ""
+        return list(dict.fromkeys(self.run(FIRST, symbols[k:])[0] for k in range(min(STARTS, len(symbols)))))
+
+    def chunk_map(self, before: str, chunk: str, joined: bool, goes_on: bool) -> ChunkMap:
+        """joined: the chunk goes on with a piece of the text before; goes_on: its last piece goes on after it."""
+        words = chunk.encode().split()
+        pieces = lambda word: [piece for _, piece in self.vocabulary.segments(word.decode())]  # noqa: E731  None: an added token
+        first = pieces(words.pop(0)) if joined and words else []
+        last = (pieces(words.pop()) if words else first) if goes_on else []
+        count = lambda some: sum([1 if p is None else self.piece(p) for p in some])
+        rest = sum([self.memo[w] for w in words])
+        live = self.live(before) if joined else []
+        if joined and goes_on and last is first and len(first) == 1:
+            return ChunkMap(self, self._open(first[0]), False, 0, FIRST, live)
+        exit_ = FIRST
+        if goes_on:
+            exit_, n = self.run(FIRST, self._open(last.pop()))
+            rest += n + (count(last) if last is not first else 0)
+        if not joined:
+            return ChunkMap(self, None, False, rest, exit_, [])
+        return ChunkMap(self, self.vocabulary.symbols_in(first[0]), True, rest + count(first[1:]), exit_, live)
+
+    def chunks(self, text: str, size: int):
+        """(before, chunk, joined, goes_on) in order."""
+        ends = [*borders(text, size, list(self.vocabulary.added)), (len(text), False)]
+        start, joined = 0, False
+        for end, goes_on in ends:
+            yield text[max(0, start - BEFORE) : start], text[start:end], joined, goes_on
+            start, joined = end, goes_on
+
+    def count(self, text: str) -> int:
+        if len(text) <= CHUNK:
+            memo = self.memo
+            return sum([memo[w] for w in text.encode().split()])
+        return scan([self.chunk_map(*chunk) for chunk in self.chunks(text, CHUNK)])
 
 
 assert LAST > 0x200  # word-end symbols must not meet plain ones
@@ -132,18 +249,65 @@ def transducer(path: str) -> Transducer:
     return Transducer(Vocabulary(path))
 
 
+def _long_counts(rows: DataFrame, path: str, size: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of long texts: chunks are dealt to tasks, then their maps meet text by text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def split(batches):
+        machine = transducer(path)
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                row, n_bytes = uuid.uuid4().hex, len(text.encode())
+                for number, (before, chunk, joined, goes_on) in enumerate(machine.chunks(text, size)):
+                    columns = {"doc_id": batch.column(0).slice(k, 1), "row": [row], "n_bytes": pa.array([n_bytes], pa.int64()), "number": pa.array([number], pa.int64()), "before": [before], "chunk": [chunk], "joined": [joined], "goes_on": [goes_on]}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    def maps(batches):
+        machine = transducer(path)
+        for batch in batches:
+            out = []
+            for before, chunk, joined, goes_on in zip(*(batch.column(c).to_pylist() for c in range(4, 8))):
+                m = machine.chunk_map(before, chunk, joined, goes_on)
+                out.append(zlib.compress(pickle.dumps((m.head, m.ends, m.rest, m.exit, m.known)), 1))
+            yield pa.RecordBatch.from_pydict({c: batch.column(k) for k, c in enumerate(("doc_id", "row", "n_bytes", "number"))} | {"map": pa.array(out, pa.binary())})
+        machine.memo.forget()
+
+    def meet(batches):
+        machine, row, held = transducer(path), None, []
+
+        def done():
+            return pa.RecordBatch.from_pydict({"doc_id": row[1], "n_bytes": row[2], "n_tokens": pa.array([scan(held)], pa.int64())})
+
+        for batch in batches:
+            for k, (key, packed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())):
+                if row is None or key != row[0]:
+                    if held:
+                        yield done()
+                    row, held = (key, batch.column(0).slice(k, 1), batch.column(2).slice(k, 1)), []
+                head, ends, rest, exit_, known = pickle.loads(zlib.decompress(packed))
+                m = ChunkMap(machine, head, ends, rest, exit_, [])
+                m.known = known
+                held.append(m)
+        if held:
+            yield done()
+
+    pieces = rows.mapInArrow(split, f"doc_id {kind}, row string, n_bytes long, number long, before string, chunk string, joined boolean, goes_on boolean")
+    mapped = pieces.repartition("row", "number").mapInArrow(maps, f"doc_id {kind}, row string, n_bytes long, number long, map binary")
+    return mapped.repartition("row").sortWithinPartitions("row", "number").mapInArrow(meet, f"doc_id {kind}, n_bytes long, n_tokens long")
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     ready_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+    is_long = F.coalesce(F.octet_length("text") > LONG_BYTES, F.lit(False))
 
     def run(batches):
         count = transducer(path).count
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            n = [count(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(map(count, texts), pa.int64())})
         transducer(path).memo.forget()
 
-    return rows.mapInArrow(run, schema)
+    short = rows.filter(~is_long).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return short.unionByName(_long_counts(rows.filter(is_long), path, LONG_CHUNK)).withColumn("over_limit", F.col("n_tokens") > limit)
