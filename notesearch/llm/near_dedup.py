@@ -8,7 +8,7 @@ confirmed on the full sets.
 A group of copies is never expanded into all pairs.  Texts with equal sets are one class.  Within a
 band group, a first round confirms one spanning forest of the most similar pairs; a second round
 tests every pair whose members are still in different components and whose sketches do not rule the
-link out: by a bound that always holds, or by an estimate so low that MISS bounds its probability.
+link out: by bounds that always hold, or by an estimate so low that MISS bounds its probability.
 
 Work in large band groups follows their rows, not their pairs.  In round two the rows outside the
 largest component of a group are its minority.  A minority of at most MINORITY rows is copied to every
@@ -48,6 +48,8 @@ MARGIN = 0.06
 MISS = 1e-9
 #: Rows of a block within a band group, the largest minority that goes to every block, and how often groups are recut.
 BLOCK, MINORITY, RECUTS = 256, 512, 2
+#: Sets up to this size also carry two bytes of every shingle, which bound what two of them share almost exactly.
+SHORT = 256
 #: Words whose hash a worker remembers.
 MEMO_WORDS = 250_000
 
@@ -126,7 +128,25 @@ def unpack(sketches: list[bytes]) -> np.ndarray:
 
 def keys_in(sketches: list[bytes]) -> np.ndarray:
     """The band keys that describe() appends to a sketch: (rows, BANDS)."""
-    return np.frombuffer(b"".join([s[-8 * BANDS :] for s in sketches]), np.int64).reshape(len(sketches), BANDS)
+    size = (1 + LOW_BITS) * BINS // 8
+    return np.frombuffer(b"".join([s[size : size + 8 * BANDS] for s in sketches]), np.int64).reshape(len(sketches), BANDS)
+
+
+def short_form(shingles: np.ndarray) -> bytes:
+    """Two bytes of every shingle of a small set, in order; nothing for others."""
+    return np.sort(shingles.astype(np.uint16)).tobytes() if len(shingles) <= SHORT else b""
+
+
+def shorts_in(sketches: list[bytes]) -> list[np.ndarray]:
+    """What describe() appends after the band keys."""
+    size = (1 + LOW_BITS) * BINS // 8 + 8 * BANDS
+    return [np.frombuffer(s, np.uint16, offset=size) if len(s) > size else np.zeros(0, np.uint16) for s in sketches]
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles that two sets in short form can share, at most: equal shingles have equal forms."""
+    both = np.sort(np.concatenate([a, b]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -185,7 +205,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 keys = band_keys(s) if len(s) else None
                 bands.append(keys)
-                sketches.append(sketch(s) + keys.tobytes() if len(s) else None)
+                sketches.append(sketch(s) + keys.tobytes() + short_form(s) if len(s) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()), "digest": batch.column(2)})
         _words.clear()
 
@@ -207,7 +227,7 @@ def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.
     side says which rows meet: all of side 0; those of side 1 with those of 2 and 3; those of 3 with each other.
     forest: of the pairs estimated at threshold - MARGIN or more only a spanning forest of the most similar.
     """
-    planes, keys = unpack(sketches), keys_in(sketches)
+    planes, keys, short = unpack(sketches), keys_in(sketches), shorts_in(sketches)
     a, b, value = [], [], []
     everything = np.arange(len(cls))
     apart = bool(side.any())
@@ -224,10 +244,14 @@ def _pairs_of_block(cls: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.
                 common = most_common(planes[:, i], planes[:, js], n[i], n[js])
                 ok = (e >= threshold - margins(threshold, either)) & (common >= threshold * (n[i] + n[js] - common) - 1e-9)
                 ok &= (keys[js] == keys[i]).argmax(1) == band_at
-            js = js[ok]
+            js, e = js[ok], e[ok]
+            if len(short[i]) and len(js):
+                common = np.array([most_shared(short[i], short[j]) if len(short[j]) else min(n[i], n[j]) for j in js])
+                ok = common >= threshold * (n[i] + n[js] - common) - 1e-9
+                js, e = js[ok], e[ok]
             a += [i] * len(js)
             b += js.tolist()
-            value += e[ok].tolist()
+            value += e.tolist()
     if forest and len(a) > 1:
         parent = {x: x for x in {*a, *b}}
         keep = []

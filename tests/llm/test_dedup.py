@@ -182,7 +182,7 @@ def test_no_link_is_ruled_out():
     for n, common in [(2, 2), (5, 4), (6, 5), (10, 8), (50, 40), (300, 240), (2000, 1600)] * 150:
         whole = rng.integers(0, 2**64, n, dtype=np.uint64)
         sets = [np.sort(whole), np.sort(whole[:common])]
-        sketches = [near_dedup.sketch(s) + bytes(8 * near_dedup.BANDS) for s in sets]
+        sketches = [near_dedup.sketch(s) + bytes(8 * near_dedup.BANDS) + near_dedup.short_form(s) for s in sets]
         a, b = near_dedup._pairs_of_block(np.arange(2), np.array([n, common]), np.arange(2), zero, sketches, 0, 0.8, False)
         assert (a.tolist(), b.tolist()) == ([0], [1])
     apart = [near_dedup.sketch(np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))) + bytes(8 * near_dedup.BANDS) for n in (6, 6, 900, 900)]
