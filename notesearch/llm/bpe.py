@@ -14,7 +14,6 @@ columns play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import json
 import re
@@ -27,15 +26,17 @@ from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ready_workers
+from .shared import give_back, ready_workers
 
 #: Words with characters beyond these follow the library's own Unicode tables, which may be of another version.
 PLAIN = re.compile("[\\u0250-\U0010ffff]")
 #: Moves a character to its form at the end of a word.
 LAST = 0x1000
 #: Words remembered by each Python worker, in each of two generations, and their most bytes.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 MEMO_BYTES = 64
+#: Answers of the compatibility test that are remembered.
+MOST_PAIRS = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -86,7 +87,7 @@ class Vocabulary:
         self._split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(split["pattern"]["Regex"]).findall
-        self._rules = Tokenizer.from_file(path)
+        self._path, self._rules = path, None
         self._of_byte = byte_characters()
         self._byte_of = {c: b for b, c in enumerate(self._of_byte)}
         self.symbols: dict[int, str] = {i: self._symbols_of(t) for t, i in self.vocab.items()}
@@ -131,6 +132,8 @@ class Vocabulary:
             return self._pieces(part.lower())
         if not PLAIN.search(part):
             return self._pieces(unicodedata.normalize("NFC", part).lower())
+        if self._rules is None:  # most vocabularies of text need it nowhere
+            self._rules = Tokenizer.from_file(self._path)
         mapped = self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(part))
         return [bytes([self._byte_of[c] for c in piece]).decode() for piece, _ in mapped]
 
@@ -158,7 +161,7 @@ class Vocabulary:
                 bound, left = a, parts[left][1]
             else:
                 bound, right = b + 1, parts[right][0]
-        if len(self._compatible) > 2_000_000:
+        if len(self._compatible) > MOST_PAIRS:
             self._compatible.clear()
         self._compatible[key] = answer
         return answer
@@ -174,7 +177,6 @@ class Encoder:
             if symbols:
                 self.matches.add_word(symbols, (token, -len(symbols)))
         self.matches.make_automaton()
-        self.numbers = {i: str(i) for i in vocabulary.names}
         self.pieces = Memo(self._piece)
         self.memo = Memo(self._word)
 
@@ -208,17 +210,15 @@ class Encoder:
         return ids
 
     def _strings(self, ids: list[int]) -> tuple[str, str]:
-        names, numbers = self.vocabulary.names, self.numbers
-        if len(ids) == 1:
-            return numbers[ids[0]], names[ids[0]]
-        return " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])
+        names = self.vocabulary.names
+        return " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[str, str]:
         return self._strings(self.piece(piece))
 
     def _word(self, word: bytes) -> tuple[str, str]:
-        if word.isalpha():  # ASCII letters only: one piece
-            return self.pieces[word.lower().decode()]
+        if word.isalpha():  # ASCII letters only: one piece, remembered as the word
+            return self._piece(word.lower().decode())
         found = [self._strings([added]) if piece is None else self.pieces[piece] for added, piece in self.vocabulary.segments(word.decode())]
         return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
 
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder(path).memo.forget()
         encoder(path).pieces.forget()
         encoder.cache_clear()
-        gc.collect()  # an encoder and its memories refer to each other
+        give_back()  # an encoder and its memories refer to each other
 
     return rows.mapInArrow(run, schema)
 

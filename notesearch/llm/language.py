@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Memo
-from .shared import broadcast_if_small, join_groups, null_safe_key, own_names, ready_workers, text_digest, write_table
+from .shared import broadcast_if_small, give_back, join_groups, null_safe_key, own_names, ready_workers, text_digest, write_table
 
 #: Labelled documents that the likelihoods are fitted on: of each language, and of all languages together (one of each language at least).
 SAMPLE_ROWS = 300
@@ -188,6 +188,8 @@ def text_evidence(records: DataFrame, model: TextModel, carry: list[str], is_pag
                 likelihoods.append(total.tolist())
                 resembling.append(known)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(n, pa.int64()), pa.array(likelihoods, pa.list_(pa.float64())), pa.array(resembling, pa.bool_())], names=[*carry, "n_words", "loglik", "known"])
+        memo.forget()
+        give_back()
 
     return rows.mapInArrow(run, ", ".join([*fields, "n_words long", "loglik array<double>", "known boolean"]))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import broadcast_if_small, join_groups, own_names, ready_workers, release, text_digest, write_table
+from .shared import broadcast_if_small, give_back, join_groups, own_names, ready_workers, release, text_digest, write_table
 
 #: Rows of a band and bands: a pair of similarity 0.8 meets in a band but for 3 in a million.
 BAND_ROWS, BANDS = 5, 32
@@ -208,6 +208,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sketches.append(sketch(s) + keys.tobytes() + short_form(s) if len(s) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()), "digest": batch.column(2)})
         _words.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -375,6 +376,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.binary())})
         _words.clear()
+        give_back()
 
     return write_table(rows.mapInArrow(run, "cls long, shingles binary"), "sets")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
@@ -22,7 +25,7 @@ LIGHT_ROWS = 100
 #: A table is broadcast if its rows, as measured, hold at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text in one Arrow batch, and its most rows.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 256
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 256
 
 
 def ready_workers(spark: SparkSession) -> None:
@@ -37,6 +40,15 @@ def ready_workers(spark: SparkSession) -> None:
         known["PYTHONPATH"] = ":".join(x for x in (known.get("PYTHONPATH"), here) if x)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the machine; called when a task ends, as workers live on beside other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def own_names(taken: list[str], *wanted: str) -> list[str]:
     """Column names like the wanted ones that no taken name equals, whatever its case."""
     used, out = {t.lower() for t in taken}, []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LAST, Memo, Vocabulary
-from .shared import ready_workers
+from .shared import give_back, ready_workers
 
 #: Characters of a chunk, in place and of texts dealt to tasks; bytes of a text that is dealt.
 CHUNK, LONG_CHUNK, LONG_BYTES = 1 << 16, 1 << 20, 4 << 20
@@ -308,6 +308,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(map(count, texts), pa.int64())})
         transducer(path).memo.forget()
+        give_back()
 
     short = rows.filter(~is_long).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return short.unionByName(_long_counts(rows.filter(is_long), path, LONG_CHUNK)).withColumn("over_limit", F.col("n_tokens") > limit)
