@@ -17,9 +17,11 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
@@ -33,7 +35,7 @@ PLAIN = re.compile("[\\u0250-\U0010ffff]")
 #: Moves a character to its form at the end of a word.
 LAST = 0x1000
 #: Words remembered by each Python worker, in each of two generations, and their most bytes.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 80_000
 MEMO_BYTES = 64
 #: Answers of the compatibility test that are remembered.
 MOST_PAIRS = 300_000
@@ -177,8 +179,14 @@ class Encoder:
             if symbols:
                 self.matches.add_word(symbols, (token, -len(symbols)))
         self.matches.make_automaton()
-        self.pieces = Memo(self._piece)
-        self.memo = Memo(self._word)
+        size = max(vocabulary.names) + 1
+        self.type, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
+        self.names = [vocabulary.names.get(i) for i in range(size)]
+        self.numbers = [str(i) for i in range(size)]
+        self.pieces, self.memo = Memo(self._piece), Memo(self._word)
+
+    def _pack(self, n: int, ids: list[int]) -> bytes:
+        return struct.pack(f"={n}{self.code}", *ids)
 
     def piece(self, piece: str) -> list[int]:
         symbols = self.vocabulary.symbols_in(piece)
@@ -203,36 +211,25 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def word_ids(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for added, piece in self.vocabulary.segments(word):
-            ids += [added] if piece is None else self.piece(piece)
-        return ids
-
-    def _strings(self, ids: list[int]) -> tuple[str, str]:
-        names = self.vocabulary.names
-        return " ".join(map(str, ids)), " ".join([names[i] for i in ids])
-
-    def _piece(self, piece: str) -> tuple[str, str]:
-        return self._strings(self.piece(piece))
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word, packed."""
+        if word.isalpha():  # ASCII letters only: one piece
+            return self.pieces[word.lower().decode()]
+        found = [self._pack(1, [added]) if piece is None else self.pieces[piece] for added, piece in self.vocabulary.segments(word.decode())]
+        return found[0] if len(found) == 1 else b"".join(found)
 
-    def _word(self, word: bytes) -> tuple[str, str]:
-        if word.isalpha():  # ASCII letters only: one piece, remembered as the word
-            return self._piece(word.lower().decode())
-        found = [self._strings([added]) if piece is None else self.pieces[piece] for added, piece in self.vocabulary.segments(word.decode())]
-        return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+    def _piece(self, piece: str) -> bytes:
+        ids = self.piece(piece)
+        return self._pack(len(ids), ids)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in (text or "").encode().split() for i in self.word_ids(w.decode())]
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, (text or "").encode().split())), self.type).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.vocabulary.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
-    def joined(self, text: str | None) -> tuple[str, str]:
-        """(decimal ids, decoded text), each joined by single spaces."""
-        memo = self.memo
-        found = [memo[w] for w in (text or "").encode().split()]
-        return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
+    def in_decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.numbers.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=4)
@@ -249,20 +246,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     schema = f"doc_id {kind}, " + ("ids array<int>, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        joined = encoder(path).joined
+        used = encoder(path)
         for batch in batches:
             ids, n, of_ids, of_text = [], [], [], []
             for text in batch.column(1).to_pylist():
-                numbers, decoded = joined(text)
-                n.append(numbers.count(" ") + 1 if numbers else 0)
-                of_ids.append(hashlib.sha256(numbers.encode()).hexdigest())
-                of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
+                found = used.encode(text)
+                n.append(len(found))
+                of_ids.append(hashlib.sha256(used.in_decimal(found).encode()).hexdigest())
+                of_text.append(hashlib.sha256(used.decode(found).encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in numbers.split()])
+                    ids.append(np.array(found, np.int32))
             columns = {"doc_id": batch.column(0), **({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})}
             yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text})
-        encoder(path).memo.forget()
-        encoder(path).pieces.forget()
+        used.memo.forget()
+        used.pieces.forget()
+        del used
         encoder.cache_clear()
         give_back()  # an encoder and its memories refer to each other
 
