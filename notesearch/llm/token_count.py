@@ -38,6 +38,8 @@ CHUNK, LONG_CHUNK, LONG_BYTES = 1 << 16, 1 << 20, 4 << 20
 MOST_STATES = 200_000
 #: Symbols before a border that live states follow from, and the places among them to start at.
 BEFORE, STARTS = 48, 32
+#: Words whose counts a worker remembers, in each of two generations.
+MEMO_WORDS = 200_000
 #: Steps of a chunk's known paths that another path is compared with.
 TRACE = 512
 
@@ -134,7 +136,7 @@ class Transducer:
         self.vocabulary = vocabulary
         self.tokens = {s: i for i, s in vocabulary.symbols.items() if s}
         self.stems = {s[:k] for s in self.tokens for k in range(len(s) + 1)}
-        self.memo = Memo(self._word)
+        self.memo = Memo(self._word, MEMO_WORDS)
         self.steps = 0
         self._start()
 
