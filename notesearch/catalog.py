@@ -18,17 +18,19 @@ from .session import importable, shared_folder, stable
 from .sources.persist import load_index, save_index
 
 
-def _documents(spark, folder) -> Index:
-    return settled(build_index(corpora.documents(spark, folder)))
+def _documents(spark, folder, *once: str) -> Index:
+    """The index of documents; tables that a plan reads several times are named and computed once, postings first."""
+    index = build_index(corpora.documents(spark, folder))
+    return settled(index, *once) if once else index
 
 
 def _line_rows(spark, folder) -> DataFrame:
     return stable(corpora.lines(spark, folder))
 
 
-def _lines(spark, folder, rows: DataFrame | None = None) -> Index:
-    rows = _line_rows(spark, folder) if rows is None else rows
-    return settled(build_index(rows.select("doc", F.concat_ws(" ", "code", "descr").alias("text"))))
+def _lines(spark, folder, rows: DataFrame | None = None, once: tuple[str, ...] = ()) -> Index:
+    index = build_index((corpora.lines(spark, folder) if rows is None else rows).select("doc", F.concat_ws(" ", "code", "descr").alias("text")))
+    return settled(index, *once) if once else index
 
 
 def _asked(spark, kind="documents") -> DataFrame:
@@ -37,6 +39,7 @@ def _asked(spark, kind="documents") -> DataFrame:
 
 def _dense(postings: DataFrame) -> DataFrame:
     """Postings with documents numbered densely from 0, as gaps need."""
+    postings = stable(postings, "postings")
     ids = compress.numbered(postings.select("doc").distinct(), "doc", "id")
     return postings.join(ids, "doc").select("term", F.col("id").alias("doc"), "tf")
 
@@ -63,7 +66,7 @@ def _membership(spark, folder):
 
 def _search(kind, mode, every=True):
     def run(spark, folder):
-        index = _documents(spark, folder) if kind == "documents" else _lines(spark, folder)
+        index = _documents(spark, folder, "terms") if kind == "documents" else _lines(spark, folder, once=("terms",))
         return (search.search if every else search.search_any)(index, _asked(spark, kind), mode)
 
     return run
@@ -71,18 +74,19 @@ def _search(kind, mode, every=True):
 
 def _ranked(kind, model, every, mode=NEVER):
     def run(spark, folder):
-        index = _documents(spark, folder) if kind == "documents" else _lines(spark, folder)
+        once = ("terms",) if model == search.NO_SCORE else ("terms", "doc_stats")
+        index = _documents(spark, folder, *once) if kind == "documents" else _lines(spark, folder, once=once)
         return search.search_ranked(index, _asked(spark, kind), model, every, mode)
 
     return run
 
 
 def _top_k(spark, folder):
-    return search.top_k(_documents(spark, folder), _asked(spark), 10, model=search.BM25, every=False, mode=NEVER)
+    return search.top_k(_documents(spark, folder, "terms", "doc_stats"), _asked(spark), 10, model=search.BM25, every=False, mode=NEVER)
 
 
 def _search_tokens(spark, folder):
-    return search.search_tokens(_documents(spark, folder), _asked(spark))
+    return search.search_tokens(_documents(spark, folder, "terms"), _asked(spark))
 
 
 def _kgrams(spark, folder):
@@ -98,7 +102,7 @@ def _wildcard(spark, folder):
 
 
 def _wildcard_search(spark, folder):
-    return search.search(_documents(spark, folder), corpora.query_table(spark, list(enumerate(corpora.DOCUMENT_PATTERNS))), NEVER)
+    return search.search(_documents(spark, folder, "terms"), corpora.query_table(spark, list(enumerate(corpora.DOCUMENT_PATTERNS))), NEVER)
 
 
 def _levenshtein(spark, folder):
@@ -107,32 +111,32 @@ def _levenshtein(spark, folder):
 
 
 def _fuzzy(spark, folder):
-    near = expand.fuzzy(corpora.word_table(spark, corpora.WORDS), _lines(spark, folder).terms)
+    near = expand.fuzzy(corpora.word_table(spark, corpora.WORDS), stable(_lines(spark, folder).terms))
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
 def _expand(mode):
     def run(spark, folder):
-        return expand.expand(expand.words_of(_asked(spark, "lines")), _lines(spark, folder).terms, mode)
+        return expand.expand(expand.words_of(_asked(spark, "lines")), stable(_lines(spark, folder).terms), mode)
 
     return run
 
 
 def _corrections(spark, folder):
-    return correct.corrections(_lines(spark, folder).terms)
+    return correct.corrections(stable(_lines(spark, folder).terms))
 
 
 def _corrected_postings(spark, folder):
-    return correct.corrected_index(_lines(spark, folder)).postings
+    return correct.corrected_index(_lines(spark, folder, _line_rows(spark, folder), ("terms",))).postings
 
 
 def _corrected_search(spark, folder):
-    return search.search_ranked(settled(correct.corrected_index(_lines(spark, folder))), _asked(spark, "lines"), search.BM25, True, FALLBACK)
+    return search.search_ranked(settled(correct.corrected_index(_lines(spark, folder, _line_rows(spark, folder), ("terms",))), "terms", "doc_stats"), _asked(spark, "lines"), search.BM25, True, FALLBACK)
 
 
 def _correction_eval(spark, folder):
     rows = _line_rows(spark, folder)
-    return correct.correction_eval(rows, _lines(spark, folder, rows).terms)
+    return correct.correction_eval(rows, stable(_lines(spark, folder, rows).terms))
 
 
 def _note(function):
@@ -153,18 +157,18 @@ def _known_items(spark, folder):
 
 def _set_matrix(spark, folder):
     rows = _line_rows(spark, folder)
-    index = _lines(spark, folder, rows)
-    return evaluate.set_matrix(index, settled(correct.corrected_index(index)), rows)
+    index = _lines(spark, folder, rows, ("terms", "doc_stats"))
+    return evaluate.set_matrix(index, settled(correct.corrected_index(index), "terms"), rows)
 
 
 def _rank_matrix(spark, folder):
     rows = _line_rows(spark, folder)
-    return evaluate.rank_matrix(_lines(spark, folder, rows), rows)
+    return evaluate.rank_matrix(_lines(spark, folder, rows, ("terms", "doc_stats")), rows)
 
 
 def _set_measures(spark, folder):
     rows = _line_rows(spark, folder)
-    index = _lines(spark, folder, rows)
+    index = _lines(spark, folder, rows, ("terms", "doc_stats"))
     queries, qrels = evaluate.collection(rows)
     m = evaluate.set_measures(search.search(index, queries, NEVER), queries, qrels, index.corpus_stats)
     return m.select("query_id", "has_variants", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
@@ -172,7 +176,7 @@ def _set_measures(spark, folder):
 
 def _rank_measures(spark, folder):
     rows = _line_rows(spark, folder)
-    index = _lines(spark, folder, rows)
+    index = _lines(spark, folder, rows, ("terms", "doc_stats"))
     queries, qrels = evaluate.collection(rows)
     m = evaluate.rank_measures(search.search_ranked(index, queries, search.BM25, True, NEVER), queries, qrels)
     return m.select("query_id", "has_variants", *(F.round(c, 6).alias(c) for c in ("ap", "p1", "r_precision")))
@@ -184,12 +188,13 @@ def _model_word_pairs(spark, folder):
 
 
 def _linear_cost(spark, folder):
-    return search.intersections(_lines(spark, folder), _model_word_pairs(spark, folder))
+    return search.intersections(_lines(spark, folder, once=("terms",)), stable(_model_word_pairs(spark, folder)))
 
 
 def _skip_cost(spark, folder):
-    pairs = _model_word_pairs(spark, folder)
-    lists = _lines(spark, folder).postings.groupBy("term").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    pairs = stable(_model_word_pairs(spark, folder))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    lists = stable(_lines(spark, folder).postings.join(asked, "term", "left_semi")).groupBy("term").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
     left = pairs.join(lists.select(F.col("term").alias("a"), F.col("docs").alias("da")), "a")
     both = left.join(lists.select(F.col("term").alias("b"), F.col("docs").alias("db")), "b")
     return importable(both).select("pair_id", skip_cost("da", "db").alias("skip_cost"))
@@ -212,7 +217,7 @@ def _front_coding(spark, folder):
 
 
 def _space_report(spark, folder):
-    index = _lines(spark, folder)
+    index = _lines(spark, folder, once=("terms",))
     return compress.space_report(_dense(index.postings), index.terms)
 
 
@@ -245,10 +250,17 @@ def _vector_neighbours(spark, folder):
 
 
 def _vector_search(spark, folder):
-    """Each neighbour found for the asked vectors stands for the lines of the part with its number."""
-    near = _vector_neighbours(spark, folder)
-    rows = corpora.lines(spark, folder).select("doc", F.col("code").cast("long").alias("neighbour"))
-    return near.join(rows, "neighbour").select("asked", "doc").distinct()
+    """Search over neighbours; the term in place i of the dictionary of lines has vector i of embeddings."""
+    index = _lines(spark, folder, once=("terms",))
+    ids = compress.numbered(index.terms.select("term"), "term", "vec_id")
+    vectors = stable(_vectors(spark, folder).join(ids, "vec_id").select("term", "vec"))
+    return similarity.search_neighbours(index, corpora.query_table(spark, corpora.NEIGHBOUR_QUERIES), vectors, 0.2)
+
+
+def _compressed_lookup(spark, folder):
+    """Postings of a few terms, decoded from the packed index without the other terms."""
+    packed = stable(compress.packed(_dense(_lines(spark, folder).postings)), "packed")
+    return compress.lookup(packed, corpora.word_table(spark, corpora.WORDS))
 
 
 def _html_escape(spark, folder):
@@ -305,6 +317,7 @@ def _saved_queries():
         "dictionary_front_coding": _front_coding,
         "space_report": _space_report,
         "vbyte_roundtrip": _vbyte_roundtrip,
+        "compressed_lookup": _compressed_lookup,
         "dictionary_roundtrip": _dictionary_roundtrip,
         "dictionary_lookup": _dictionary_lookup,
         "index_roundtrip": _index_roundtrip,

@@ -66,9 +66,9 @@ def escape_html(text: Column) -> Column:
 
 
 def url_parameters(query: Column) -> Column:
-    """array<struct<name, value>> of a query string, decoded; items without a name are left out."""
+    """array<struct<name, value>> of a query string, decoded; items without a name are left out, and a part with a broken escape is null."""
     items = F.filter(F.split(query, "&"), lambda i: ~i.rlike("^=") & i.contains("="))
-    return F.transform(items, lambda i: F.struct(F.url_decode(F.substring_index(i, "=", 1)).alias("name"), F.url_decode(F.regexp_extract(i, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    return F.transform(items, lambda i: F.struct(F.try_url_decode(F.substring_index(i, "=", 1)).alias("name"), F.try_url_decode(F.regexp_extract(i, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
 
 
 def vbyte_size(number: Column) -> Column:

@@ -12,6 +12,8 @@ from ..session import importable, stable
 
 #: Terms of a front-coded block.
 BLOCK = 8
+#: Document numbers of a stretch of a posting list.
+RANGE = 1 << 16
 
 
 def numbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
@@ -28,22 +30,41 @@ def numbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
     return dealt.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + inside - 1).cast("long")).drop("__part", "__before")
 
 
+def _ranges(postings: DataFrame) -> DataFrame:
+    """Adds range: the stretch of RANGE document numbers, so that a frequent term is many pieces of work."""
+    return postings.withColumn("range", F.floor(F.col("doc") / RANGE).cast("long"))
+
+
+def _with_gaps(postings: DataFrame) -> DataFrame:
+    """postings with gap: the distance to the document before in the same list.
+
+    Within a range by the order of its documents; the first of a range is measured from the last document of the ranges before.
+    """
+    rows = _ranges(postings)
+    last = rows.groupBy("term", "range").agg(F.max("doc").alias("last"))
+    start = F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("range")), F.lit(0))
+    inside = F.lag("doc").over(Window.partitionBy("term", "range").orderBy("doc"))
+    joined = rows.join(last.select("term", "range", start.alias("start")), ["term", "range"])
+    return joined.withColumn("gap", F.col("doc") - F.coalesce(inside, F.col("start"))).drop("range", "start")
+
+
 def posting_gaps(postings: DataFrame) -> DataFrame:
     """term, doc, gap: the distance to the document before in the same list."""
-    w = Window.partitionBy("term").orderBy("doc")
-    return postings.select("term", "doc", (F.col("doc") - F.lag("doc", 1, 0).over(w)).alias("gap"))
+    return _with_gaps(postings).select("term", "doc", "gap")
 
 
 def gaps_decoded(gaps: DataFrame) -> DataFrame:
     """term, doc from term, doc (for the order only) and gap."""
-    w = Window.partitionBy("term").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(w).alias("doc"))
+    rows = _ranges(gaps)
+    sums = rows.groupBy("term", "range").agg(F.sum("gap").alias("sum"))
+    start = F.coalesce(F.sum("sum").over(Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("gap").over(Window.partitionBy("term", "range").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums.select("term", "range", start.alias("start")), ["term", "range"]).select("term", (F.col("start") + inside).alias("doc"))
 
 
 def vbyte_sizes(postings: DataFrame) -> DataFrame:
     """term, raw_bytes, gap_bytes, tf_bytes."""
-    sized = postings.join(posting_gaps(postings), ["term", "doc"])
-    return sized.groupBy("term").agg((4 * F.count(F.lit(1))).alias("raw_bytes"), F.sum(vbyte_size(F.col("gap"))).cast("long").alias("gap_bytes"), F.sum(vbyte_size(F.col("tf"))).cast("long").alias("tf_bytes"))
+    return _with_gaps(postings).groupBy("term").agg((4 * F.count(F.lit(1))).alias("raw_bytes"), F.sum(vbyte_size(F.col("gap"))).cast("long").alias("gap_bytes"), F.sum(vbyte_size(F.col("tf"))).cast("long").alias("tf_bytes"))
 
 
 def _in_blocks(terms: DataFrame) -> DataFrame:
@@ -74,15 +95,24 @@ def space_report(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def packed(postings: DataFrame) -> DataFrame:
-    """term, docs (binary: gaps in variable bytes), tfs (binary); documents must be non-negative numbers."""
-    lists = importable(postings).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc", "tf"))).alias("p"))
-    return lists.select("term", pack_gaps(F.col("p.doc")).alias("docs"), pack_numbers(F.col("p.tf")).alias("tfs"))
+    """term, range, docs (binary: gaps in variable bytes, from the start of the range), tfs (binary): the compressed index.
+
+    Documents must be non-negative numbers.  A list of any length is cut by ranges of documents, so no cell holds more than RANGE of them.
+    """
+    rows = _ranges(postings).withColumn("doc", F.col("doc") - F.col("range") * RANGE)
+    lists = importable(rows).groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("doc", "tf"))).alias("p"))
+    return lists.select("term", "range", pack_gaps(F.col("p.doc")).alias("docs"), pack_numbers(F.col("p.tf")).alias("tfs"))
 
 
 def unpacked(lists: DataFrame) -> DataFrame:
     """term, doc, tf from packed lists."""
-    both = importable(lists).select("term", unpack_gaps("docs").alias("doc"), unpack_numbers("tfs").alias("tf"))
-    return both.select("term", F.explode(F.arrays_zip("doc", "tf")).alias("p")).select("term", "p.doc", "p.tf")
+    both = importable(lists).select("term", "range", unpack_gaps("docs").alias("doc"), unpack_numbers("tfs").alias("tf"))
+    return both.select("term", "range", F.explode(F.arrays_zip("doc", "tf")).alias("p")).select("term", (F.col("range") * RANGE + F.col("p.doc")).alias("doc"), "p.tf")
+
+
+def lookup(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """term, doc, tf of the asked words (word): only their lists are decoded."""
+    return unpacked(lists.join(words.select(F.col("word").alias("term")).distinct(), "term", "left_semi"))
 
 
 def packed_dictionary(terms: DataFrame) -> DataFrame:

@@ -59,10 +59,10 @@ def neighbours(asked: DataFrame, vectors: DataFrame, key: str = "term", nearest:
     return near.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= nearest) & (F.col("cosine") >= least)).select("asked", "neighbour", "cosine")
 
 
-def search_neighbours(index: Index, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def search_neighbours(index: Index, queries: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """query_id, doc: every token of the query met by one of its neighbours."""
     words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("word")).distinct()
-    near = neighbours(words.select(F.col("word").alias("term")), vectors).select(F.col("asked").alias("word"), F.col("neighbour").alias("term"))
+    near = neighbours(words.select(F.col("word").alias("term")), vectors, least=least).select(F.col("asked").alias("word"), F.col("neighbour").alias("term"))
     hits = words.join(near, "word").join(index.postings.select("term", "doc"), "term")
     found = hits.groupBy("query_id", "doc").agg(F.count_distinct("word").alias("n"))
     wanted = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))

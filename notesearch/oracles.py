@@ -221,7 +221,9 @@ cut AS (SELECT e.pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max,
         "dictionary_lookup": lines("SELECT word, coalesce(k, -1) AS id FROM asked_w LEFT JOIN (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM l_terms) ON term = word", words),
         "index_roundtrip": lines("SELECT term, doc, tf FROM l_post"),
         "vector_neighbours": _with(VECTORS, "SELECT asked, neighbour, cosine FROM near"),
-        "vector_search": _with(LINE_ROWS, VECTORS, "SELECT DISTINCT asked, doc FROM near JOIN lines ON CAST(code AS BIGINT) = neighbour"),
+        "vector_search": _with(LINES, NEIGHBOURS, f"q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS word FROM {_values(corpora.NEIGHBOUR_QUERIES, 'query_id, text')})",
+            "SELECT query_id, doc FROM q JOIN close ON asked = word JOIN l_post p ON p.term = close.term JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY ALL) USING (query_id) GROUP BY query_id, doc, n HAVING count(DISTINCT word) = n"),
+        "compressed_lookup": lines(f"SELECT term, doc, tf FROM dense WHERE term IN (SELECT word FROM {_values([(w,) for w in corpora.WORDS], 'word')})", DENSE),
         "html_escape": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
         "url_params": r"""SELECT page_id, url_decode(split_part(i, '=', 1)) AS name, url_decode(substr(i, position('=' IN i) + 1)) AS value FROM
             (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS i FROM pages) WHERE position('=' IN i) > 1""",
@@ -235,6 +237,10 @@ cut AS (SELECT e.pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max,
     return out
 
 
+NEIGHBOURS = """places AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS vec_id FROM l_terms),
+tvecs AS (SELECT term, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM places JOIN embeddings USING (vec_id)),
+cosines AS (SELECT q.term AS asked, c.term, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM tvecs q, tvecs c WHERE q.term LIKE '0000%' OR q.term = 'small'),
+close AS (SELECT asked, term FROM cosines WHERE true QUALIFY row_number() OVER (PARTITION BY asked ORDER BY cosine DESC, term) <= 5 AND cosine >= 0.2::DOUBLE)"""
 VECTORS = """vecs AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 scored AS (SELECT q.vec_id AS asked, c.vec_id AS neighbour, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM vecs q, vecs c WHERE q.vec_id % 100 = 0),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY cosine DESC, neighbour) AS place FROM scored) WHERE place <= 5 AND cosine >= 0.3)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: (query_id, text) asked of `documents` and of `lines`.
 DOCUMENT_QUERIES = [(1, "the thing"), (2, "and of that"), (3, "der die und"), (4, "th*ing the"), (5, "zzz*"), (6, "é* le"), (7, "the THE the"), (8, "")]
 LINE_QUERIES = [(1, "small widget"), (2, "smal widgit"), (3, "hot gear"), (4, "w*t gizm"), (5, "larg* anvil old"), (6, "rinq"), (7, "0000* blue"), (8, "cold cold rod")]
+NEIGHBOUR_QUERIES = [(1, "000001"), (2, "000002 000003"), (3, "000010 small"), (4, "000007"), (5, "000004 000004"), (6, "")]
 DOCUMENT_PATTERNS = ["*ing", "th*n", "un*", "*hea*", "a*b* of", "*%*", "é*", "zz*zz"]
 WORDS = ["small", "smal", "widgit", "anvill", "rinq", "gear", "plat", "gizmos", "bl", "old", "000123", "00012", "c4ca4238a0", "c4ca4238ao"]
 PATTERNS = ["smal*", "*dget", "w*t", "*in*", "00*7", "zz*", "*"]

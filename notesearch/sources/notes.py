@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stable
+
 CORPUS_COLUMNS = ["line_id", "doc_id", "number", "date", "code", "descr"]
 REJECT_COLUMNS = ["doc_id", "reason", "text"]
 
@@ -17,20 +19,26 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_line_ids(articles: DataFrame) -> DataFrame:
-    """Numbers lines from 1 over (doc_id, pos): counts per note give offsets, so no task sees all lines."""
-    sizes = articles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    """Numbers lines from 1 over (doc_id, pos).  Notes are dealt to ranges; the counts of ranges give offsets, so no task sees all."""
+    sizes = stable(articles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "notes")
+    totals = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("of_part"))
+    in_part = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("of_part") + F.coalesce(F.sum("n").over(in_part), F.lit(0))
+    notes = sizes.join(F.broadcast(offsets), "part").select("doc_id", before.alias("before"))
     inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    return articles.join(offsets, "doc_id").withColumn("line_id", (F.col("before") + inside).cast("long")).select(CORPUS_COLUMNS)
+    return articles.join(notes, "doc_id").withColumn("line_id", (F.col("before") + inside).cast("long")).select(CORPUS_COLUMNS)
 
 
 def _write_tsv(rows: DataFrame, columns: list[str], path: str) -> None:
-    rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value")).write.mode("overwrite").text(path)
+    """Unescaped text; every file begins with a header line."""
+    lines = rows.select(*(F.col(c).cast("string") for c in columns))
+    lines.write.mode("overwrite").options(sep="\t", header="true", quote="", escapeQuotes="false", emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def write_corpus(corpus: DataFrame, path: str, tsv: bool = False) -> None:
-    """Parquet in the order of line_id, or unescaped tab-separated text without a header."""
+    """Parquet in the order of line_id, or unescaped tab-separated text with a header."""
     ordered = corpus.select(CORPUS_COLUMNS).repartitionByRange("line_id").sortWithinPartitions("line_id")
     _write_tsv(ordered, CORPUS_COLUMNS, path) if tsv else ordered.write.mode("overwrite").parquet(path)
 

@@ -10,6 +10,7 @@ from notesearch.operators.expand import ALWAYS, FALLBACK, NEVER
 from notesearch.operators.index import build_index
 from notesearch.plans.corpora import query_table, word_table
 
+# The page, shop lines and small corpora of the published fixtures, with their expected results.
 PAGE = """DESTINATAR 006220. Pg 1/1 03/02/2026 Vendita
 001519 - 078 LUOGO DI DESTINAZION
 20025 LEGNANO CORSO RICCI, 211R
