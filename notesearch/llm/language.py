@@ -143,10 +143,12 @@ class TextModel:
 def fit_text_model(docs: DataFrame, language_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> TextModel:
     """Fits on at most SAMPLE_ROWS labelled documents, one for each id, of every language, SAMPLE_ALL in all."""
     labelled = docs.filter(F.col(language_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(language_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n_languages = labelled.agg(F.count_distinct("lang")).first()[0]
-    each = max(1, min(SAMPLE_ROWS, SAMPLE_ALL // max(1, n_languages)))
+    sizes = write_table(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "languages")
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_ALL // max(1, sizes.count())))
     least = Window.partitionBy("lang").orderBy("long", "hash", F.col("id").asc_nulls_last())
-    keys = labelled.groupBy("lang", "id").agg((F.min(F.length("text")) > SAMPLE_CHARS).alias("long")).withColumn("hash", F.xxhash64("id"))
+    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5  # the least hashes: some more than wanted, however many rows a language has
+    few = labelled.join(broadcast_if_small(sizes), "lang").filter(place <= (4 * each + 50) / F.col("of_lang"))
+    keys = few.groupBy("lang", "id").agg((F.min(F.length("text")) > SAMPLE_CHARS).alias("long")).withColumn("hash", F.xxhash64("id"))
     chosen = keys.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= each).select(F.col("lang").alias("chosen_lang"), F.col("id").alias("chosen"))
     texts = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("chosen_lang")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     counts_of: dict[str, Counter] = {}
