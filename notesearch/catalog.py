@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.codecs import skip_cost
 from .functions.text import escape_html, term_grams, tokens, url_parameters
 from .operators import compress, correct, evaluate, expand, parse, search, similarity
 from .operators.expand import ALWAYS, FALLBACK, NEVER
 from .operators.index import Index, build_index, settled
 from .plans import corpora
-from .session import importable, shared_folder, stable
+from .session import shared_folder, stable
+from .sources.notes import corpus_documents, read_corpus_tsv, with_line_ids, write_corpus
 from .sources.persist import load_index, save_index
 
 
@@ -107,7 +107,7 @@ def _wildcard_search(spark, folder):
 
 def _levenshtein(spark, folder):
     words = corpora.word_table(spark, corpora.WORDS)
-    return words.crossJoin(_lines(spark, folder).terms.select("term")).select("word", "term", F.levenshtein("word", "term").alias("distance")).filter("distance <= 3")
+    return _lines(spark, folder).terms.select("term").crossJoin(F.broadcast(words)).select("word", "term", F.levenshtein("word", "term").alias("distance")).filter("distance <= 3")
 
 
 def _fuzzy(spark, folder):
@@ -192,12 +192,33 @@ def _linear_cost(spark, folder):
 
 
 def _skip_cost(spark, folder):
-    pairs = stable(_model_word_pairs(spark, folder))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    lists = stable(_lines(spark, folder).postings.join(asked, "term", "left_semi")).groupBy("term").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
-    left = pairs.join(lists.select(F.col("term").alias("a"), F.col("docs").alias("da")), "a")
-    both = left.join(lists.select(F.col("term").alias("b"), F.col("docs").alias("db")), "b")
-    return importable(both).select("pair_id", skip_cost("da", "db").alias("skip_cost"))
+    return search.skip_costs(_lines(spark, folder), stable(_model_word_pairs(spark, folder)))
+
+
+def _efficiency(skips):
+    def run(spark, folder):
+        rows = _line_rows(spark, folder)
+        return evaluate.efficiency(_lines(spark, folder, rows, ("terms",)), rows, skips)
+
+    return run
+
+
+def _hashed_vectors(spark, folder):
+    vectors = similarity.hashed_vectors(_lines(spark, folder).terms)
+    return vectors.select("term", F.posexplode("vec").alias("slot", "value")).filter("value > 0").select("term", "slot", F.round("value", 6).alias("value"))
+
+
+def _vector_system(spark, folder):
+    rows = _line_rows(spark, folder)
+    index = _lines(spark, folder, rows, ("terms", "doc_stats"))
+    return evaluate.vector_system(index, rows, stable(similarity.hashed_vectors(index.terms), "vectors"))
+
+
+def _corpus_roundtrip(spark, folder):
+    """Notes parsed to a corpus, written as tab-separated text and read again as documents."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    write_corpus(with_line_ids(parse.articles(stable(corpora.notes(spark, folder)))), path, tsv=True)
+    return corpus_documents(read_corpus_tsv(spark, path))
 
 
 def _gaps(spark, folder):
@@ -311,6 +332,11 @@ def _saved_queries():
         "eval_rank_matrix": _rank_matrix,
         "intersect_linear_cost": _linear_cost,
         "intersect_skip_cost": _skip_cost,
+        "efficiency_totals": _efficiency(True),
+        "efficiency_linear": _efficiency(False),
+        "hashed_vectors": _hashed_vectors,
+        "eval_vector_system": _vector_system,
+        "corpus_roundtrip": _corpus_roundtrip,
         "postings_gaps": _gaps,
         "gaps_roundtrip": _gaps_roundtrip,
         "vbyte_sizes": _vbyte_sizes,

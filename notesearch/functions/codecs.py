@@ -91,7 +91,10 @@ def _advance(docs: list[int], at: int, step: int, bound: int) -> int:
 
 
 def skip_comparisons(a: list[int], b: list[int]) -> int:
-    """Pairs of doc numbers compared when two sorted lists meet, each with skips of the square root of its length."""
+    """Pairs of doc numbers compared when two sorted lists meet, each with skips of the square root of its length.
+
+    The textbook intersection with skip pointers (Manning, Raghavan, Schuetze: Introduction to Information Retrieval, 2.3).
+    """
     step_a, step_b = max(1, int(len(a) ** 0.5)), max(1, int(len(b) ** 0.5))
     i = j = compared = 0
     while i < len(a) and j < len(b):
@@ -136,4 +139,4 @@ def unpack_terms(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(LongType())
 def skip_cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([skip_comparisons(list(x), list(y)) for x, y in zip(a, b)])
+    return pd.Series([0 if x is None or y is None else skip_comparisons(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")

@@ -9,8 +9,8 @@ GRAM = 3
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased maximal runs of letters and decimal digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
+    """Lower-cased maximal runs of letters and decimal digits; characters beyond U+FFFF separate, whatever they are."""
+    return F.filter(F.split(F.lower(text), r"[^[\p{L}\p{Nd}]&&[\x{0}-\x{FFFF}]]+"), lambda t: t != "")
 
 
 def query_words(text: Column) -> Column:

@@ -11,7 +11,8 @@ from ..session import stable
 from .correct import reference_readings
 from .expand import ALWAYS, FALLBACK, NEVER
 from .index import Index
-from .search import BM25, NO_SCORE, TFIDF, search, search_ranked
+from .search import BM25, NO_SCORE, TFIDF, intersections, search, search_ranked, skip_costs
+from .similarity import search_neighbours
 
 #: Share of the model name that a wildcard query keeps, and the shortest model name asked for.
 KEPT, SHORTEST_MODEL = 0.6, 5
@@ -79,12 +80,19 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def set_matrix(index: Index, corrected: Index, lines: DataFrame) -> DataFrame:
-    """Set measures of the five exact-query systems and the two wildcard ones."""
+def vector_system(index: Index, lines: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Set measures of search over the neighbours of each word; vectors has term and vec."""
+    queries, qrels = collection(lines)
+    return averages(set_measures(search_neighbours(index, queries, vectors), queries, qrels, index.corpus_stats), "vector neighbours")
+
+
+def set_matrix(index: Index, corrected: Index, lines: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Set measures of the five exact-query systems and the two wildcard ones; with vectors of terms also of search over neighbours."""
     exact, qrels = collection(lines)
     wild, wild_qrels = collection(lines, "wildcard")
     systems = [("exact", index, NEVER, exact, qrels), ("fuzzy if absent", index, FALLBACK, exact, qrels), ("fuzzy always", index, ALWAYS, exact, qrels), ("corrected", corrected, NEVER, exact, qrels), ("corrected, fuzzy always", corrected, ALWAYS, exact, qrels), ("wildcard", index, NEVER, wild, wild_qrels), ("wildcard, corrected", corrected, NEVER, wild, wild_qrels)]
-    return _stack([averages(set_measures(search(ix, q, mode), q, rel, ix.corpus_stats), name) for name, ix, mode, q, rel in systems])
+    frames = [averages(set_measures(search(ix, q, mode), q, rel, ix.corpus_stats), name) for name, ix, mode, q, rel in systems]
+    return _stack(frames if vectors is None else [*frames, vector_system(index, lines, vectors)])
 
 
 def rank_matrix(index: Index, lines: DataFrame) -> DataFrame:
@@ -93,3 +101,40 @@ def rank_matrix(index: Index, lines: DataFrame) -> DataFrame:
     systems = [(f"{'and' if every else 'or'} {model}", model, every, NEVER) for every in (True, False) for model in (NO_SCORE, TFIDF, BM25)]
     systems += [(f"fuzzy always, and {model}", model, True, ALWAYS) for model in (TFIDF, BM25)]
     return _stack([averages(rank_measures(search_ranked(index, queries, model, every, mode), queries, qrels), name) for name, model, every, mode in systems])
+
+
+def workloads(index: Index, lines: DataFrame) -> DataFrame:
+    """workload, pair_id, a, b: the two terms of each exact query, and its first term with the most frequent one (of equals the least)."""
+    asked = known_items(lines).select(F.col("code").alias("pair_id"), F.split("exact", " ").alias("t"))
+    frequent = index.terms.orderBy(F.desc("df"), "term").limit(1).select(F.col("term").alias("frequent"))
+    pairs = asked.crossJoin(F.broadcast(frequent))
+    kinds = F.array(F.struct(F.lit("query terms").alias("workload"), F.col("t")[1].alias("b")), F.struct(F.lit("most frequent").alias("workload"), F.col("frequent").alias("b")))
+    each = pairs.select("pair_id", F.col("t")[0].alias("a"), F.explode(kinds).alias("k"))
+    return each.select("k.workload", "pair_id", "a", "k.b")
+
+
+def efficiency(index: Index, lines: DataFrame, skips: bool = True) -> DataFrame:
+    """workload, n_queries, linear, skip (only skips): comparisons over all exact queries."""
+    work = stable(workloads(index, lines).withColumn("query", F.col("pair_id")).withColumn("pair_id", F.concat_ws("\n", "workload", "pair_id")), "workloads")
+    pairs = work.select("pair_id", "a", "b")
+    costs, sums = intersections(index, pairs), [F.count(F.lit(1)).alias("n_queries"), F.sum("linear_cost").alias("linear")]
+    if skips:
+        costs, sums = costs.join(skip_costs(index, pairs), "pair_id"), [*sums, F.sum("skip_cost").alias("skip")]
+    return work.select("workload", "pair_id").join(costs, "pair_id").groupBy("workload").agg(*sums)
+
+
+def report(sets: DataFrame, ranks: DataFrame, work: DataFrame) -> list[str]:
+    """Lines of text: a table of set measures, one of rank measures, and the comparisons of intersections.
+
+    The three frames have a row for each system, ordering or workload, so they are small.
+    """
+    out = []
+    for frame, names, heads, digits in ((sets, ("precision", "recall", "f1", "accuracy"), ("P", "R", "F1", "acc"), (3, 3, 3, 4)), (ranks, ("ap", "p1", "r_precision"), ("MAP", "P@1", "R-prec"), (3, 3, 3))):
+        out += ["", f"{'system':<31} {'set':<12} " + "  ".join(f"{h:>{d + 2}}" for h, d in zip(heads, digits))]
+        before = None
+        for row in frame.collect():
+            shown = "" if row["system"] == before else row["system"]
+            out.append(f"{shown:<31} {row['subset']:<12} " + "  ".join(f"{row[c] or 0.0:>{d + 2}.{d}f}" for c, d in zip(names, digits)) + f"  (n={row['n']})")
+            before = row["system"]
+    out += ["", "comparisons of document numbers (intersection of two terms)"]
+    return out + [f"  {r['workload']:<20} {r['n_queries']} queries: linear {r['linear']}, with skips {r['skip']}" for r in work.orderBy("workload").collect()]

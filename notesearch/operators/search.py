@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.codecs import skip_cost
 from ..functions.text import tokens
+from ..session import importable, stable
+from .compress import RANGE
 from .expand import FALLBACK, NEVER, expand, words_of
 from .index import Index
 
@@ -82,20 +85,50 @@ def top_k(index: Index, queries: DataFrame, k: int = 10, **options) -> DataFrame
     return search_ranked(index, queries, limit=k, **options).join(index.docs, "doc").select("query_id", "rank", "doc", "score", "text")
 
 
-def linear_cost(a_max: Column, b_max: Column, a_until: Column, b_until: Column, common: Column) -> Column:
-    """Comparisons of a linear merge of two lists: their entries up to the smaller end, each common one once."""
-    return F.when(a_max.isNull() | b_max.isNull(), 0).otherwise(a_until + b_until - common)
+def skip_costs(index: Index, pairs: DataFrame) -> DataFrame:
+    """pair_id, skip_cost for pairs (pair_id, a, b) of terms: comparisons made when both lists have skips.
+
+    The count follows both lists step by step, so each asked list is one array; an absent term costs nothing.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    lists = stable(index.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.array_sort(F.collect_list("doc")).alias("docs")), "lists")
+    left = pairs.join(lists.select(F.col("term").alias("a"), F.col("docs").alias("da")), "a", "left")
+    both = left.join(lists.select(F.col("term").alias("b"), F.col("docs").alias("db")), "b", "left")
+    return importable(both).select("pair_id", F.when(F.col("da").isNull() | F.col("db").isNull(), 0).otherwise(skip_cost("da", "db")).alias("skip_cost"))
+
+
+def _entries_until(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (term, doc) with entries: how many documents of the term's list are no greater.
+
+    Lists are cut into ranges of documents: sums over ranges give what is before one, a window inside it the rest.
+    """
+    cut = F.floor(F.col("doc") / RANGE).alias("range")
+    each = postings.select("term", "doc", cut, F.lit(1).alias("entry")).unionByName(probes.select("term", "doc", cut, F.lit(0).alias("entry")))
+    before = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("term", "range").agg(F.sum("entry").alias("n"), F.min("entry").alias("least")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    asked = each.join(sums.filter("least = 0").select("term", "range", "before"), ["term", "range"])
+    inside = Window.partitionBy("term", "range").orderBy("doc", F.desc("entry")).rowsBetween(Window.unboundedPreceding, 0)
+    return asked.withColumn("entries", F.col("before") + F.sum("entry").over(inside)).filter("entry = 0").select("term", "doc", "entries")
 
 
 def intersections(index: Index, pairs: DataFrame) -> DataFrame:
-    """pair_id, common, linear_cost for pairs (pair_id, a, b) of terms."""
-    p = index.postings.select("term", "doc")
-    left = pairs.join(p.withColumnRenamed("term", "a"), "a").select("pair_id", "doc", F.lit(1).alias("in_a"), F.lit(0).alias("in_b"))
-    right = pairs.join(p.withColumnRenamed("term", "b"), "b").select("pair_id", "doc", F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
-    merged = left.unionByName(right).groupBy("pair_id", "doc").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
-    last = merged.groupBy("pair_id").agg(F.max(F.when(F.col("in_a") == 1, F.col("doc"))).alias("a_max"), F.max(F.when(F.col("in_b") == 1, F.col("doc"))).alias("b_max"))
-    until = merged.join(last, "pair_id").withColumn("inside", F.col("doc") <= F.least("a_max", "b_max"))
-    counted = until.groupBy("pair_id", "a_max", "b_max").agg(F.sum(F.when(F.col("inside"), F.col("in_a")).otherwise(0)).alias("a_until"), F.sum(F.when(F.col("inside"), F.col("in_b")).otherwise(0)).alias("b_until"), F.sum(F.col("in_a") * F.col("in_b")).alias("common"))
-    cost = linear_cost(F.col("a_max"), F.col("b_max"), F.col("a_until"), F.col("b_until"), F.col("common"))
-    found = counted.select("pair_id", "common", cost.alias("linear_cost"))
-    return pairs.select("pair_id").join(found, "pair_id", "left").fillna(0)
+    """pair_id, common, linear_cost for pairs (pair_id, a, b) of terms; documents are numbers.
+
+    A linear merge compares the entries of both lists up to the smaller end, each common one once.  Common
+    documents are looked up from the rarer list, so no frequent list is repeated for its pairs.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    p = stable(index.postings.select("term", "doc").join(asked, "term", "left_semi"), "asked_postings")
+    ends = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("doc").alias("last"))
+    side = lambda x: ends.select(F.col("term").alias(x), F.struct("term", "df", "last").alias(f"of_{x}"))
+    both = stable(pairs.select("pair_id", "a", "b").join(side("a"), "a").join(side("b"), "b"), "ends")
+    rarer = F.col("of_a.df") <= F.col("of_b.df")
+    looked = both.select("pair_id", F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("term"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    met = looked.join(p, "term").select("pair_id", F.col("other").alias("term"), "doc").join(p, ["term", "doc"])
+    common = met.groupBy("pair_id").agg(F.count(F.lit(1)).alias("common"))
+    shorter = F.col("of_a.last") <= F.col("of_b.last")
+    ended, longer = F.when(shorter, F.col("of_a")).otherwise(F.col("of_b")), F.when(shorter, F.col("of_b")).otherwise(F.col("of_a"))
+    probes = both.select("pair_id", longer["term"].alias("term"), ended["last"].alias("doc"), ended["df"].alias("whole"))
+    counted = probes.join(_entries_until(p, probes.select("term", "doc").distinct()), ["term", "doc"]).join(common, "pair_id", "left").fillna(0, ["common"])
+    found = counted.select("pair_id", "common", (F.col("whole") + F.col("entries") - F.col("common")).alias("linear_cost"))
+    return pairs.select("pair_id").join(found, "pair_id", "left").fillna(0, ["common", "linear_cost"])

@@ -6,15 +6,22 @@ from character grams.  The last two are stand-ins and rank differently from a su
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import grams, tokens
+from ..session import importable, stable
 from .index import Index
 
 #: Nearest terms considered, and the least cosine among them.
 NEAREST, LEAST_COSINE = 5, 0.9
+#: Bytes of a block of asked vectors, and rows of the dictionary that meet it at a time.
+BLOCK_BYTES, ROWS = 4 << 20, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,7 +38,8 @@ def hashed_vectors(terms: DataFrame, size: int = 64) -> DataFrame:
     """term, vec: counts of hashed character grams of three to six characters, normalised."""
     marked = F.concat(F.lit("<"), F.col("term"), F.lit(">"))
     every = F.flatten(F.array(*(grams(marked, k) for k in range(3, 7))))
-    slots = terms.select("term", F.explode(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(size)).cast("int"))).alias("slot")).groupBy("term", "slot").count()
+    slot = lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int")  # noqa: E731  (MD5, so that SQL has the same slots)
+    slots = terms.select("term", F.explode(F.transform(every, slot)).alias("slot")).groupBy("term", "slot").count()
     maps = slots.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("slot", "count"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
     return normalised(maps.select("term", vec.alias("vec")))
@@ -49,14 +57,56 @@ def trained_vectors(docs: DataFrame, size: int = 50, seed: int = 1) -> DataFrame
 def neighbours(asked: DataFrame, vectors: DataFrame, key: str = "term", nearest: int = NEAREST, least: float = LEAST_COSINE) -> DataFrame:
     """asked key, neighbour, cosine: the nearest few, of which those close enough; the key itself included.
 
-    vectors are normalised; asked has the keys.  Every asked vector meets every vector of the
-    dictionary: keep asked small against it.
+    vectors are normalised and of one length; asked has the keys.  Asked vectors are cut into blocks of at most
+    BLOCK_BYTES; each task takes the blocks one at a time, multiplies them with its batches of the dictionary and keeps the
+    nearest few of each asked key, so what is shuffled is a few rows for each key and task.
     """
-    mine = vectors.join(asked.select(key).distinct(), key, "left_semi").select(F.col(key).alias("asked"), F.col("vec").alias("mine"))
-    both = mine.crossJoin(vectors.select(F.col(key).alias("neighbour"), "vec"))
-    near = both.select("asked", "neighbour", F.round(dot(F.col("mine"), F.col("vec")), 6).alias("cosine"))
+    mine = stable(vectors.join(asked.select(key).distinct(), key, "left_semi").select(F.col(key).alias("asked"), "vec"), "asked")
+    kind = mine.schema["asked"].dataType.simpleString()
+    found = None
+    for block in _blocks_of(mine):
+        near = _nearest_in_parts(vectors.select(F.col(key).alias("neighbour"), "vec"), block, kind, nearest, least)
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"asked {kind}, neighbour {kind}, cosine double")
     w = Window.partitionBy("asked").orderBy(F.desc("cosine"), "neighbour")
-    return near.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= nearest) & (F.col("cosine") >= least)).select("asked", "neighbour", "cosine")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= nearest).select("asked", "neighbour", "cosine")
+
+
+def _blocks_of(mine: DataFrame):
+    """Yields (keys, matrix) of asked vectors, of at most BLOCK_BYTES each."""
+    keys, rows, size = [], [], 0
+    for row in mine.toLocalIterator():
+        keys.append(row["asked"])
+        rows.append(np.array(row["vec"], np.float64))
+        size += rows[-1].nbytes
+        if size >= BLOCK_BYTES:
+            yield keys, np.array(rows)
+            keys, rows, size = [], [], 0
+    if keys:
+        yield keys, np.array(rows)
+
+
+def _nearest_in_parts(vectors: DataFrame, block: tuple, kind: str, nearest: int, least: float) -> DataFrame:
+    """asked, neighbour, cosine: for each asked key of a block the nearest few of each partition, if close enough."""
+    sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+    def run(frames):
+        keys, matrix = sent.value
+        best: list[list] = [[] for _ in keys]
+        for frame in frames:
+            for start in range(0, len(frame), ROWS):
+                part = frame.iloc[start : start + ROWS]
+                names = part["neighbour"].tolist()
+                cosines = np.round(np.stack(part["vec"].tolist()).astype(np.float64) @ matrix.T, 6)
+                for row, column in zip(*np.nonzero((cosines >= least).T)):
+                    best[row].append((-float(cosines[column, row]), names[column]))
+                    if len(best[row]) > 8 * nearest:
+                        best[row] = heapq.nsmallest(nearest, best[row])
+        rows = [(key, name, -negative) for key, few in zip(keys, best) for negative, name in heapq.nsmallest(nearest, few)]
+        yield pd.DataFrame(rows, columns=["asked", "neighbour", "cosine"])
+
+    return importable(vectors).mapInPandas(run, f"asked {kind}, neighbour {kind}, cosine double")
 
 
 def search_neighbours(index: Index, queries: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:

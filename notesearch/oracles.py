@@ -11,7 +11,7 @@ def _values(rows: list, columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) v({columns}))"
 
 
-TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{Nd}}]+'), lambda t: t <> '')"
+TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\x{{10000}}-\x{{10FFFF}}]', ' ', 'g'), '[^\p{{L}}\p{{Nd}}]+'), lambda t: t <> '')"
 GRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr('$' || {0} || '$', i, 3)))"
 
 
@@ -211,6 +211,29 @@ ends AS (SELECT pair_id, a, b, (SELECT max(doc) FROM l_post WHERE term = a) AS a
 cut AS (SELECT e.pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max, count(*) FILTER (p.term = a AND p.doc <= least(a_max, b_max)) AS na, count(*) FILTER (p.term = b AND p.doc <= least(a_max, b_max)) AS nb,
     count(*) FILTER (p.term = a) + count(*) FILTER (p.term = b) - count(DISTINCT p.doc) AS common FROM ends e LEFT JOIN l_post p ON p.term = e.a OR p.term = e.b GROUP BY e.pair_id)""",
         ),
+        "efficiency_linear": lines(
+            "SELECT workload, count(*) AS n_queries, CAST(sum(CASE WHEN a_max IS NULL OR b_max IS NULL THEN 0 ELSE na + nb - common END) AS BIGINT) AS linear FROM cut GROUP BY workload",
+            KNOWN,
+            """prs AS (SELECT 'query terms' AS workload, code AS pair_id, string_split(exact, ' ')[1] AS a, string_split(exact, ' ')[2] AS b FROM items
+    UNION ALL SELECT 'most frequent', code, string_split(exact, ' ')[1], (SELECT term FROM l_terms ORDER BY df DESC, term LIMIT 1) FROM items),
+ends AS (SELECT workload, pair_id, a, b, x.m AS a_max, y.m AS b_max FROM prs LEFT JOIN (SELECT term, max(doc) AS m FROM l_post GROUP BY term) x ON x.term = a LEFT JOIN (SELECT term, max(doc) AS m FROM l_post GROUP BY term) y ON y.term = b),
+both_lists AS (SELECT workload, pair_id, a_max, b_max, doc, 1 AS in_a, 0 AS in_b FROM ends JOIN l_post ON term = a UNION ALL SELECT workload, pair_id, a_max, b_max, doc, 0, 1 FROM ends JOIN l_post ON term = b),
+met AS (SELECT workload, pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max, doc, max(in_a) AS in_a, max(in_b) AS in_b FROM both_lists GROUP BY workload, pair_id, doc),
+cut AS (SELECT workload, pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max, coalesce(sum(in_a) FILTER (doc <= least(a_max, b_max)), 0) AS na, coalesce(sum(in_b) FILTER (doc <= least(a_max, b_max)), 0) AS nb, sum(in_a * in_b) AS common FROM met GROUP BY workload, pair_id)""",
+        ),
+        "hashed_vectors": lines("SELECT term, CAST(s AS INTEGER) AS slot, round(v[s + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS value FROM hashed, range(64) r(s) WHERE v[s + 1] > 0", HASHED),
+        "eval_vector_system": lines(
+            _means("m", "vector neighbours", measures),
+            HASHED,
+            KNOWN,
+            exact,
+            f"q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS word FROM exact_q)",
+            """close AS (SELECT asked, term FROM (SELECT a.term AS asked, b.term, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM (SELECT * FROM hashed WHERE term IN (SELECT word FROM q)) a, hashed b)
+    WHERE cosine >= 0.9::DOUBLE QUALIFY row_number() OVER (PARTITION BY asked ORDER BY cosine DESC, term) <= 5)""",
+            "found_rows AS (SELECT query_id, doc FROM q JOIN close ON asked = word JOIN l_post p ON p.term = close.term JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY ALL) USING (query_id) GROUP BY query_id, doc, n HAVING count(DISTINCT word) = n)",
+            f"m AS ({_set_rows('found_rows', 'exact_q', 'l_corpus')})",
+        ),
+        "corpus_roundtrip": notes("SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS doc, code || ' ' || descr AS text FROM arts"),
         "postings_gaps": lines("SELECT term, doc, gap FROM gaps", DENSE),
         "gaps_roundtrip": lines("SELECT term, doc FROM dense", DENSE),
         "vbyte_sizes": lines("SELECT * FROM sizes", DENSE),
@@ -237,6 +260,9 @@ cut AS (SELECT e.pair_id, any_value(a_max) AS a_max, any_value(b_max) AS b_max,
     return out
 
 
+HASHED = """slots AS (SELECT term, unnest(flatten(list_transform([3, 4, 5, 6], lambda k: list_transform(range(1, length(term) + 4 - k), lambda i: substr('<' || term || '>', i, k))))) AS g FROM l_terms),
+slotted AS (SELECT term, list(CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 64) AS s FROM slots GROUP BY term),
+hashed AS (SELECT term, list_transform(range(64), lambda k: len(list_filter(s, lambda x: x = k))::DOUBLE) AS v FROM slotted)"""
 NEIGHBOURS = """places AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS vec_id FROM l_terms),
 tvecs AS (SELECT term, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM places JOIN embeddings USING (vec_id)),
 cosines AS (SELECT q.term AS asked, c.term, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM tvecs q, tvecs c WHERE q.term LIKE '0000%' OR q.term = 'small'),

@@ -70,6 +70,19 @@ def save_both(index: Index, path: str) -> dict[str, bool]:
     return out
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a path."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+
+
+def save_report(index: Index, path: str, corpus: str | None = None) -> list[str]:
+    """save_both as lines of text: bytes of the corpus, if named, and of both indexes, and whether they load as they were saved."""
+    spark, equal = index.docs.sparkSession, save_both(index, path)
+    sizes = [*([("corpus", corpus)] if corpus else []), *((name, f"{path}/{name}") for name in equal)]
+    return [f"{name}: {stored_bytes(spark, where)} bytes" for name, where in sizes] + [f"{name} reloaded equals saved: {same_rows}" for name, same_rows in equal.items()]
+
+
 def startup_seconds(ready: Callable[[], Index], times: int = 3) -> dict[str, float]:
     """first, median and least seconds until an index answers a term count."""
     took = []

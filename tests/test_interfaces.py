@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notesearch import cli, examples, web
-from notesearch.operators import parse, search
+from notesearch.operators import evaluate, parse, search
 from notesearch.operators.correct import corrected_index
 from notesearch.operators.expand import ALWAYS, FALLBACK, NEVER
 from notesearch.operators.index import build_index
@@ -128,3 +128,27 @@ def test_documents_that_arrive_later(spark, corpus, tmp_path):
     assert persist.same(grown.postings, whole.postings) and persist.same(grown.terms, whole.terms)
     assert persist.same(grown.doc_stats.select("doc", "len", F.round("norm", 9)), whole.doc_stats.select("doc", "len", F.round("norm", 9)))
     assert grown.corpus_stats.first() == whole.corpus_stats.first()
+
+
+def test_save_report_names_bytes_and_equality(spark, corpus, tmp_path):
+    source = tmp_path / "corpus.tsv"
+    source.write_text("x" * 123)
+    told = persist.save_report(build_index(corpus), str(tmp_path / "both"), str(source))
+    assert told[0] == "corpus: 123 bytes" and told[3:] == ["base reloaded equals saved: True", "corrected reloaded equals saved: True"]
+    assert all(int(line.split()[1]) > 1000 for line in told[1:3])
+
+
+def test_report_of_evaluation(spark):
+    sets = spark.createDataFrame([("exact", "all", 3, 1.0, 0.5, 2 / 3, 0.9996), ("exact", "variants", 0, None, None, None, None)], "system string, subset string, n long, precision double, recall double, f1 double, accuracy double").coalesce(1)
+    ranks = spark.createDataFrame([("and bm25", "all", 3, 0.8456, 1.0, 0.25)], "system string, subset string, n long, ap double, p1 double, r_precision double")
+    work = spark.createDataFrame([("query terms", 3, 20, 12)], "workload string, n_queries long, linear long, skip long")
+    told = evaluate.report(sets, ranks, work)
+    assert [line.split() for line in told if line] == [
+        ["system", "set", "P", "R", "F1", "acc"],
+        ["exact", "all", "1.000", "0.500", "0.667", "0.9996", "(n=3)"],
+        ["variants", "0.000", "0.000", "0.000", "0.0000", "(n=0)"],
+        ["system", "set", "MAP", "P@1", "R-prec"],
+        ["and", "bm25", "all", "0.846", "1.000", "0.250", "(n=3)"],
+        ["comparisons", "of", "document", "numbers", "(intersection", "of", "two", "terms)"],
+        ["query", "terms", "3", "queries:", "linear", "20,", "with", "skips", "12"],
+    ]

@@ -72,6 +72,7 @@ def test_header_may_span_lines_and_lines_are_stripped(spark):
 def test_tokens(spark):
     assert one(spark, tokens, "Vite zincata, 8x40 mm") == ["vite", "zincata", "8x40", "mm"]
     assert one(spark, tokens, "a_b ½²Ⅷ Perché") == ["a", "b", "perché"]
+    assert one(spark, tokens, "b\U0001d4b3c \U0001f600x9 \U00020000") == ["b", "c", "x9"]  # beyond U+FFFF all characters separate
     assert one(spark, query_words, "  Lava*  7KG, ") == ["lava*", "7kg,"]
 
 
@@ -266,9 +267,51 @@ def test_known_items(spark):
     assert [tuple(r) for r in got] == [("000001", "model12 small", "model*", True)]
 
 
+def test_efficiency_by_hand(spark):
+    rows = [(d, f"{d % 7:06}", f"BR MODEL{d % 7}X {'SMALL' if d % 3 else 'LARGE'} 1") for d in range(60)]
+    lines = spark.createDataFrame(rows, "doc long, code string, descr string")
+    index = build_index(lines.select("doc", F.concat_ws(" ", "code", "descr").alias("text")))
+    lists = {}
+    for p in index.postings.collect():
+        lists.setdefault(p.term, []).append(p.doc)
+    lists = {t: sorted(x) for t, x in lists.items()}
+    top = min(lists, key=lambda t: (-len(lists[t]), t))
+    pairs = [i.exact.split(" ") for i in evaluate.known_items(lines).collect()]
+    want = {}
+    for name, each in (("query terms", pairs), ("most frequent", [(a, top) for a, _ in pairs])):
+        want[name] = (len(each), sum(merge_cost(lists[a], lists[b]) for a, b in each), sum(codecs.skip_comparisons(lists[a], lists[b]) for a, b in each))
+    assert {r.workload: (r.n_queries, r.linear, r.skip) for r in evaluate.efficiency(index, lines).collect()} == want
+    absent = spark.createDataFrame([(1, "model1x", "nowhere")], "pair_id int, a string, b string")
+    assert tuple(search.skip_costs(index, absent).first()) == (1, 0)
+
+
+def test_matrix_with_vectors_has_one_more_system(spark):
+    rows = [(d, f"{d % 3:06}", f"BR MODEL{d % 3}X SMALL 1") for d in range(9)]
+    lines = spark.createDataFrame(rows, "doc long, code string, descr string")
+    index = build_index(lines.select("doc", F.concat_ws(" ", "code", "descr").alias("text")))
+    got = evaluate.set_matrix(index, correct.corrected_index(index), lines, similarity.hashed_vectors(index.terms)).collect()
+    assert len(got) == 16 and {r.system for r in got if r.subset == "all"} >= {"exact", "vector neighbours"}
+
+
 # --- similarity, escaping
 
 
+def test_neighbours_in_blocks_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    vecs = {k: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for k in range(120)}  # few directions, so many ties
+    vectors = similarity.normalised(spark.createDataFrame(list(vecs.items()), "vec_id int, vec array<double>").repartition(5))
+    unit = {r.vec_id: r.vec for r in vectors.collect()}
+    want = []
+    for q in range(0, 120, 3):
+        near = sorted((-round(sum(x * y for x, y in zip(unit[q], unit[k])), 6), k) for k in unit)
+        want += [(q, k, -c) for c, k in near[:5] if -c >= 0.3]
+    asked = vectors.filter("vec_id % 3 = 0").select("vec_id")
+    for block in (similarity.BLOCK_BYTES, 100):
+        monkeypatch.setattr(similarity, "BLOCK_BYTES", block)
+        assert sorted((r.asked, r.neighbour, r.cosine) for r in similarity.neighbours(asked, vectors, "vec_id", 5, 0.3).collect()) == sorted(want)
+    assert similarity.neighbours(asked.filter("false"), vectors, "vec_id").collect() == []
+
+
 def test_a_term_is_its_own_neighbour(spark):
     index = index_of(spark, ["friggitrice aria 1800w nero", "lavatrice slim 7kg bianco"] * 20)
     for vectors in (similarity.hashed_vectors(index.terms), similarity.trained_vectors(index.docs, 10)):
