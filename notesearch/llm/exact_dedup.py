@@ -146,8 +146,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (maybe,) = own_names(wide.columns, "maybe")
         wide = wide.withColumn(maybe, F.lit(True))
     same = (F.col(digest) == F.col(dropped)) & F.col(id_col).eqNullSafe(F.col(dropped_id))
+    none_again = measured(several)[0] == 0
+    if none_again and measured(others)[1] <= shared.BROADCAST_BYTES:  # no row moves, so one pass over the texts serves flagged and unflagged rows
+        return wide.join(F.broadcast(others), F.col(maybe) & same, "left_anti").select(columns)
     left = wide.filter(maybe).drop(maybe).join(shared.broadcast_if_small(others), same, "left_anti")
-    if measured(several)[0] == 0:
+    if none_again:
         return left.select(columns).unionByName(wide.filter(~F.col(maybe)).select(columns))
     left = left.join(shared.broadcast_if_small(several), digest, "left")
     row = F.struct(*(F.col(f"`{c}`") for c in columns))

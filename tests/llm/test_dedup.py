@@ -59,6 +59,20 @@ def test_filter_flags_few_unique_rows_at_any_size(spark, rows):
     assert hot == rows // 10 + 1 and unique < 0.02 * rows
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, shared.BROADCAST_BYTES])
+def test_drop_without_repeats_equals_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast_bytes)
+    rows = [(k, f"alone {k}" if k % 3 else f"group{' ' * (1 + k % 2)}{k // 90}", "s") for k in range(600)] + [(None, "alone 1", "s"), (None, "lonely", None), (601, None, "s"), (602, "", "t")]
+    least = {}
+    for k, text, _ in rows:
+        key = " ".join((text or "").split())
+        least[key] = min((x for x in (least.get(key), k) if x is not None), default=None)
+    want = [r for r in rows if r[0] == least[" ".join((r[1] or "").split())]]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, left), key=order) == sorted(want, key=order)
+
+
 def test_columns_may_have_any_name(spark):
     rows = [(k, f"text {k % 7} of this small and simple kind", "a", "en", "d", "i", 1.0) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __digest0 string, __dropped0 string, __id0 string, __MAYBE0 double").withColumnsRenamed({})
