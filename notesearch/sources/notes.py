@@ -19,7 +19,7 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_line_ids(articles: DataFrame) -> DataFrame:
-    """Numbers lines from 1 over (doc_id, pos).  Notes are dealt to ranges; the counts of ranges give offsets, so no task sees all."""
+    """Numbers lines from 1 over (doc_id, pos), and over what they say where notes share a doc_id.  Notes are dealt to ranges; the counts of ranges give offsets, so no task sees all."""
     sizes = stable(articles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "notes")
     totals = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -27,7 +27,7 @@ def with_line_ids(articles: DataFrame) -> DataFrame:
     in_part = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("of_part") + F.coalesce(F.sum("n").over(in_part), F.lit(0))
     notes = sizes.join(F.broadcast(offsets), "part").select("doc_id", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "number", "date", "code", "descr"))
     return articles.join(notes, "doc_id").withColumn("line_id", (F.col("before") + inside).cast("long")).select(CORPUS_COLUMNS)
 
 

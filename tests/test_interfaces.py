@@ -152,3 +152,9 @@ def test_report_of_evaluation(spark):
         ["comparisons", "of", "document", "numbers", "(intersection", "of", "two", "terms)"],
         ["query", "terms", "3", "queries:", "linear", "20,", "with", "skips", "12"],
     ]
+
+
+def test_line_ids_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("000001", pos, "000001", "03/02/2026", f"{k:06}", f"BRON {k}") for pos in range(3) for k in range(40)]
+    numbered = lambda each: sorted(tuple(r) for r in notes.with_line_ids(spark.createDataFrame(each, "doc_id string, pos int, number string, date string, code string, descr string")).collect())
+    assert numbered(rows) == numbered(rows[::-1]) == [(k + 1, *row[:1], *row[2:]) for k, row in enumerate(rows)]
