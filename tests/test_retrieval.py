@@ -421,3 +421,14 @@ def test_every_word_is_looked_up_in_the_documents_of_the_rarest(spark):
     rows = search._met_words(index, words, expand.expand(words, index.terms, NEVER))
     assert rows.filter("query_id < 50").count() == 2 * 500  # not the 500 documents of `all` for each query
     assert sorted((r.query_id, r.doc) for r in search.search_ranked(index, queries, mode=NEVER).collect()) == sorted(want)
+
+
+def test_search_over_neighbours_repeats_no_frequent_list(spark, monkeypatch):
+    index = index_of(spark, [f"all m{d % 50}" for d in range(500)])
+    queries, seen, met = query_table(spark, [(k, f"all m{k}") for k in range(50)]), [], search._met_words
+    monkeypatch.setattr(search, "_met_words", lambda *given: seen.append(met(*given)) or seen[-1])
+    terms = sorted(r.term for r in index.terms.collect())
+    vectors = spark.createDataFrame([(t, [float(k == j) for j in range(len(terms))]) for k, t in enumerate(terms)], "term string, vec array<double>")
+    found = similarity.search_neighbours(index, queries, vectors)
+    assert sorted(tuple(r) for r in found.collect()) == [(k, d) for k in range(50) for d in range(500) if d % 50 == k]
+    assert seen[0].count() == 2 * 500
