@@ -432,3 +432,24 @@ def test_search_over_neighbours_repeats_no_frequent_list(spark, monkeypatch):
     found = similarity.search_neighbours(index, queries, vectors)
     assert sorted(tuple(r) for r in found.collect()) == [(k, d) for k in range(50) for d in range(500) if d % 50 == k]
     assert seen[0].count() == 2 * 500
+
+
+def test_lines_that_say_the_same_of_what_is_asked_count_together(spark, monkeypatch):
+    """Sets of measures over classes are those over lines; a matrix reads neither postings nor statistics of lines."""
+    rng = random.Random(9)
+    models = ["MODEL18A", "MODE118A", "MODELB8A", "OTHER77", "0THER77", "OTHER7Z"]
+    rows = [(d, f"{d % 5:06}", f"BR {models[d % 3 if d % 4 else (d + rng.randrange(3)) % 6]} {rng.choice(['SMALL', 'SMALI', 'LARGE'])} {rng.randrange(4)}") for d in range(80)]
+    lines = spark.createDataFrame(rows, "doc long, code string, descr string")
+    index = build_index(lines.select("doc", F.concat_ws(" ", "code", "descr").alias("text")))
+    fixed = correct.corrected_index(index)
+    asked = evaluate.collection(lines), evaluate.collection(lines, "wildcard")
+    want = []
+    for name, ix, mode, (queries, qrels) in [("exact", index, NEVER, asked[0]), ("fuzzy if absent", index, FALLBACK, asked[0]), ("fuzzy always", index, ALWAYS, asked[0]), ("corrected", fixed, NEVER, asked[0]), ("corrected, fuzzy always", fixed, ALWAYS, asked[0]), ("wildcard", index, NEVER, asked[1]), ("wildcard, corrected", fixed, NEVER, asked[1])]:
+        found = evaluate.set_measures(search.search(ix, queries, mode), queries, qrels, ix.corpus_stats)
+        want += [tuple(r) for r in evaluate.averages(found, name).collect()]
+    index.postings = index.doc_stats = index.corpus_stats = fixed.postings = fixed.terms = None
+    monkeypatch.setattr(evaluate, "stable", lambda df, name="table", f=evaluate.stable: found.setdefault(name, []).append(f(df, name)) or found[name][-1])
+    found = {}
+    assert [tuple(r) for r in evaluate.set_matrix(index, fixed, lines).collect()] == want
+    held = found["classes"][0].collect()
+    assert sum(r.n for r in held) == 80 and len(held) < 60
