@@ -453,3 +453,15 @@ def test_lines_that_say_the_same_of_what_is_asked_count_together(spark, monkeypa
     assert [tuple(r) for r in evaluate.set_matrix(index, fixed, lines).collect()] == want
     held = found["classes"][0].collect()
     assert sum(r.n for r in held) == 80 and len(held) < 60
+
+
+def test_ranks_by_several_models_come_from_one_lookup(spark, monkeypatch):
+    lines = spark.createDataFrame([(d, f"{d % 4:06}", f"BR MODEL{d % 4}{'X' if d % 5 else 'Y'} {'SMALL' if d % 3 else 'LARGE'} {d % 2}") for d in range(40)], "doc long, code string, descr string")
+    index = build_index(lines.select("doc", F.concat_ws(" ", "code", "descr").alias("text")))
+    queries, _ = evaluate.collection(lines)
+    expansions, models = evaluate._expanded(index.terms, queries, NEVER), [search.NO_SCORE, search.BM25]
+    wanted = {m: {(r.query_id, r.doc): r.rank for r in search.search_ranked(index, queries, m, True, expansions=expansions).collect()} for m in models}
+    looked = []
+    monkeypatch.setattr(search, "_met_words", lambda *a, f=search._met_words: looked.append(1) or f(*a))
+    ranked = search.scores_of_all(index, queries, models, expansions).collect()
+    assert len(looked) == 1 and all(wanted[m] and {(r.query_id, r.doc): r[m] for r in ranked} == wanted[m] for m in models)
